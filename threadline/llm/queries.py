@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .pii import KINDS as PII_KINDS
+from .pii import fit_pii, pii_spans
 from .quality_classifier import classify_quality
+from .secret_scan import KINDS as SECRET_KINDS
+from .secret_scan import fit_secrets, secret_spans
 from .simhash import simhash_components
 
 
@@ -49,13 +53,31 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of the rule spans by kind, the digest of those, and all spans as text."""
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _span_digest(pii_spans(docs, fit_pii(docs)), PII_KINDS)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _span_digest(secret_spans(docs, fit_secrets(docs)), SECRET_KINDS)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op7_quality_classifier, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op6_pii, op7_quality_classifier, op9_secret_scans, op10_simhash_near_dedup)}
 ORACLE_SQL = {"op1_benchmark_decontamination": OP1_SQL}
