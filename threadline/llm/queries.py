@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .license_scan import scan_licences
+from .oracle import OP1_SQL, OP3_SQL, OP4_SQL, OP5_SQL
 from .pii import KINDS as PII_KINDS
 from .pii import fit_pii, pii_spans
 from .quality_classifier import classify_quality
+from .quality_rules import quality_rules
 from .secret_scan import KINDS as SECRET_KINDS
 from .secret_scan import fit_secrets, secret_spans
 from .simhash import simhash_components
+from .url_filter import Rule, filter_urls
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,30 +31,31 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-OP1_SQL = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM documents
-), b AS (
-  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
-), bw AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
-), dw AS (
-  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS win
-  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw))
-), hits AS (
-  SELECT doc_id, item_id, i, dw.size FROM dw JOIN bw USING (size, win)
-), words AS (
-  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id
-), items AS (
-  SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id
-)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
-"""
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: every source is a root with two levels of folders, and every
+    tenth document is the licence file of its folder (of the root, for every twentieth)."""
+    of = lambda n: F.pmod(F.floor(F.col("doc_id") / n), F.lit(7)).cast("string")
+    is_file = F.pmod("doc_id", F.lit(10)) == 0
+    path = (
+        F.when(F.pmod("doc_id", F.lit(20)) == 0, F.concat_ws("/", F.coalesce("source", F.lit("")), F.lit("LICENSE")))
+        .when(is_file, F.concat_ws("/", F.coalesce("source", F.lit("")), of(10), F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", F.coalesce("source", F.lit("")), of(10), of(70), F.concat("doc_id", F.lit(".txt"))))
+    )
+    return scan_licences(table(spark, sf_dir, "documents"), path, F.col("path").endswith("/LICENSE"))
+
+
+#: The rules that the query asks for.
+URL_RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
+#: Words of host names by which the block list is drawn up from the hosts of the corpus.
+BLOCKED_WORDS = ("ads-track", "adult", "casino", "cheap-pills", "free-bets", "spam")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), F.col("key").rlike("|".join(BLOCKED_WORDS)), URL_RULES)
 
 
 def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -79,5 +84,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op6_pii, op7_quality_classifier, op9_secret_scans, op10_simhash_near_dedup)}
-ORACLE_SQL = {"op1_benchmark_decontamination": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_quality_rules, op4_license_scans, op5_url_filters, op6_pii, op7_quality_classifier, op9_secret_scans, op10_simhash_near_dedup)}
+ORACLE_SQL = {"op1_benchmark_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_license_scans": OP4_SQL, "op5_url_filters": OP5_SQL}
