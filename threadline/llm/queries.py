@@ -15,7 +15,9 @@ from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .secret_scan import KINDS as SECRET_KINDS
 from .secret_scan import fit_secrets, secret_spans
+from .sentencepiece_wfst import load_transducer, round_trip
 from .simhash import simhash_components
+from .token_output import shared_shards, token_index
 from .url_filter import Rule, filter_urls
 
 
@@ -31,6 +33,19 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer file; they are read where they lie, never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer_json = f.read()
+    return token_index(shared_shards(table(spark, sf_dir, "documents"), tokenizer_json))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -75,6 +90,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), load_transducer(tokenizer_path("piece_bpe_32k.model")))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _span_digest(secret_spans(docs, fit_secrets(docs)), SECRET_KINDS)
@@ -84,5 +103,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_quality_rules, op4_license_scans, op5_url_filters, op6_pii, op7_quality_classifier, op9_secret_scans, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_token_binary_output, op3_quality_rules, op4_license_scans, op5_url_filters, op6_pii, op7_quality_classifier, op8_sentencepiece, op9_secret_scans, op10_simhash_near_dedup)}
 ORACLE_SQL = {"op1_benchmark_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_license_scans": OP4_SQL, "op5_url_filters": OP5_SQL}
