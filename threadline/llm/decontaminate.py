@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -187,19 +188,61 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A phrase is ``window`` consecutive words of an item, or all words of a shorter one. Null
     and empty texts have no words; items without id or words are skipped; items that repeat
     count once. Empty tables give no rows, or rows without hits; other columns are ignored."""
-    listed = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).dropna()
-    size = listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), none.alias("spans"))
-    for k in range(n_blocks):
-        block = [(r.item, bytes(r.text, "utf-8")) for r in listed.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).toLocalIterator()]
-        out = _pass(out, Phrases(block, window), shard_words, keep_text=k < n_blocks - 1)
+    n_blocks, blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    for k, phrases in enumerate(blocks):
+        out = _pass(out, phrases, shard_words, keep_text=k < n_blocks - 1)
         if n_blocks > 1:
             out = written(out, "contamination")
     return out
 
 
+def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> tuple[int, Iterator[Phrases]]:
+    """How many blocks the benchmark makes, and their phrases, one block at a time."""
+    listed = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna()
+    size = listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    own = lambda k: listed.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).toLocalIterator()
+    return n, (Phrases([(r.item, r.text.encode()) for r in own(k)], window) for k in range(n))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_words: int = 2_000_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no phrase of the benchmark; one
+    narrow pass for each block of phrases."""
+    n_blocks, blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    for phrases in blocks:
+        docs = docs.mapInArrow(_clean_rows(docs.sparkSession.sparkContext.broadcast(phrases), text_col, shard_words), docs.schema)
+        if n_blocks > 1:
+            docs = written(docs, "decontaminated")
+    return docs
+
+
+def _clean_rows(shared, text_col: str, shard_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared.value
+        for batch in batches:
+            keep: list[bool] = []
+            for shard in shards(utf8(batch.column(batch.schema.get_field_index(text_col))), phrases, shard_words):
+                keep += [not items for items in shard_hits(shard, phrases)[1]]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def shards(texts: list[bytes | None], phrases: Phrases, shard_words: int) -> Iterator[list[list[int]]]:
+    """The texts as symbols, in runs of whole documents of about shard_words words."""
+    get, shard, held = phrases.symbol.get, [], 0
+    for text in texts:
+        shard.append([get(w, 1) for w in words_of(text)])
+        held += len(shard[-1])
+        if held >= shard_words:
+            yield shard
+            shard, held = [], 0
+    if shard:
+        yield shard
+
+
 def _pass(docs: DataFrame, phrases: Phrases, shard_words: int, keep_text: bool) -> DataFrame:
     """The hits of one block of phrases, merged with those found before."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
@@ -207,35 +250,21 @@ def _pass(docs: DataFrame, phrases: Phrases, shard_words: int, keep_text: bool)
 
     def make(batch: pa.RecordBatch) -> dict:
         phrases = shared.value
-        get = phrases.symbol.get
         old_items, old_spans = batch.column("items").to_pylist(), batch.column("spans").to_pylist()
         out: dict = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": [], "items": [], "spans": []}
-        shard: list[list[int]] = []
-
-        def close() -> None:
+        for shard in shards(utf8(batch.column("text")), phrases, shard_words):
             first = len(out["items"])
             hit, items = shard_hits(shard, phrases)
-            touched = np.flatnonzero(np.add.reduceat(hit, np.cumsum([0, *(len(s) + 1 for s in shard[:-1])]))) if hit.any() else ()
             base = np.cumsum([0, *(len(s) + 1 for s in shard)])
             out["n_words"] += [len(s) for s in shard]
             out["items"] += [sorted(found.union(old_items[first + i])) for i, found in enumerate(items)]
-            out["spans"] += old_spans[first : first + len(shard)]
-            for i in touched:
-                flags = hit[base[i] : base[i + 1] - 1].copy()
-                for span in old_spans[first + i]:
-                    flags[span["start"] : span["end"]] = True
-                out["spans"][first + i] = _runs(flags)
-            shard.clear()
-
-        held = 0
-        for text in utf8(batch.column("text")):
-            shard.append([get(w, 1) for w in words_of(text)])
-            held += len(shard[-1])
-            if held >= shard_words:
-                close()
-                held = 0
-        if shard:
-            close()
+            for i in range(len(shard)):
+                flags = hit[base[i] : base[i + 1] - 1]
+                if items[i] and old_spans[first + i]:
+                    flags = flags.copy()
+                    for span in old_spans[first + i]:
+                        flags[span["start"] : span["end"]] = True
+                out["spans"].append(_runs(flags) if items[i] else old_spans[first + i])
         return out
 
     return docs.mapInArrow(by_batch(make, pa.schema(fields)), ", ".join(f"{n} {t}" for n, t in (("doc_id", "long"), *[("text", "string")] * keep_text, ("n_words", "long"), ("items", "array<string>"), ("spans", "array<struct<start:bigint,end:bigint>>"))))

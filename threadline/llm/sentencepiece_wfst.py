@@ -181,6 +181,20 @@ def round_trip(docs: DataFrame, transducer: Transducer, id_col: str = "doc_id",
     return picked.mapInArrow(by_batch(make, schema), "doc_id long, n_pieces long, pieces_crc32 long, text_crc32 long, exact boolean")
 
 
+def encode_checked(docs: DataFrame, transducer: Transducer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_pieces, pieces, exact) of every row: the ids, and whether they decode to the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("pieces", pa.list_(pa.int32())), ("exact", pa.bool_())])
+
+    def make(batch: pa.RecordBatch) -> dict:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        ids = [np.array(transducer.encode(t), np.int32) for t in texts]
+        exact = [transducer.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
+        return {"doc_id": batch.column(0), "n_pieces": [len(i) for i in ids], "pieces": ids, "exact": exact}
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(by_batch(make, schema), "doc_id long, n_pieces long, pieces array<int>, exact boolean")
+
+
 def reference_processor(path: str) -> sentencepiece.SentencePieceProcessor:
     """The library's own encoder, for tests."""
     return sentencepiece.SentencePieceProcessor(model_file=path)
