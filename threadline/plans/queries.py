@@ -180,9 +180,9 @@ def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _export_body(spark, sf_dir, "json")
 
 
-@query("sink_empty_guard", _with(_TURNS, "SELECT DISTINCT run_id, 'No data to download.' AS error FROM t WHERE run_id NOT IN (SELECT run_id FROM live)"))
+@query("sink_empty_guard", _with(_TURNS, "SELECT DISTINCT run_id, 'No data to download.' AS error FROM t WHERE run_id NOT IN (SELECT run_id FROM live WHERE replyCount > 5000)"))
 def sink_empty_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SRC.empty_exports(fx.watch_snapshots(spark, sf_dir), live_scan(spark, sf_dir))
+    return SRC.empty_exports(fx.watch_snapshots(spark, sf_dir), live_scan(spark, sf_dir).filter("replyCount > 5000"))
 
 
 @query("sink_quarantine", _with(_TURNS, "SELECT run_id, pos, CASE layout WHEN 'view_model' THEN 'alternate_layout' ELSE layout END AS code, CASE layout WHEN 'unhydrated' THEN '<ytd-comment-thread-renderer><div class=\"skeleton\"><br></div></ytd-comment-thread-renderer>' ELSE left('<ytd-comment-thread-renderer><ytd-comment-view-model><published-time-text><a href=\"/watch?v=x&amp;lc=' || _key || '&amp;t=1#f\">1 day ago</a></published-time-text><yt-attributed-string>' || replace(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), 200) END AS snippet FROM t WHERE layout <> 'classic'"))
