@@ -7,17 +7,19 @@ their joint text gives those two again. A step between unstable neighbours weigh
 any other one 1. So of all paths over an input exactly one has a finite weight, and the
 tropical shortest path is the encoding that the model defines.
 
-Texts are cut where no piece can reach across (two characters that stand together in no
-piece); paths over the parts join to the path over the whole, and parts that come again in
-a task are looked up. Encoding is one narrow pass; the model's file travels with the tasks.
+Texts are cut where no piece can reach across (before space marks, and between signs and
+other characters, as far as these stand together in no piece); paths over the parts join to
+the path over the whole, and parts that come again in a task are looked up. Encoding is one narrow pass; the model's file travels with the tasks.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterable
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ _NORMAL, _USER, _BYTE = 1, 4, 6
 class Transducer:
     """The compiled model. ``max_parts`` bounds what is looked up; beyond it, it starts anew."""
 
-    def __init__(self, model: bytes, max_parts: int = 400_000):
+    def __init__(self, model: bytes, max_parts: int = 800_000):
         self.model, self.max_parts = model, max_parts
 
     def __reduce__(self):
@@ -52,12 +54,22 @@ class Transducer:
         self.scores = {p: s for p, (_, s) in pieces.items()}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.texts = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(MARK, " ").encode() if p.type in (_NORMAL, _USER) else b"" for p in proto.pieces]
-        self.together = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
-        self.longest = max(map(len, pieces))
-        self.stable: dict[tuple[str, str], bool] = {}
+        # arcs by text: a piece's id, or -1 for what only begins a piece
+        self.arcs = {p[:i]: -1 for p in pieces for i in range(1, len(p))} | self.ids
+        self.names = ["", *(p.piece for p in proto.pieces[1:])]  # state 0 is the start
+        self.others: dict[str, int] = {}
+        self.stable: dict[int, bool] = {}
         self.parts: dict[str, list[int]] = {}
-        # space marks begin a part unless a piece has one after another character
-        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if not any(MARK in p.lstrip(MARK) for p in pieces) else "(?s:.+)")
+        # a space mark begins a part, and so does a change between signs and other characters,
+        # as far as no piece has the two side by side
+        together = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        whole = any(x != MARK and y == MARK for x, y in together)
+        signs = set(string.punctuation + "\n\t")
+        odd = {c for pair in together if len(signs.intersection(pair)) == 1 and MARK not in pair for c in pair if c not in signs}
+        listed = "".join(map(re.escape, sorted(signs)))
+        self.coarse = re.compile("(?s:.+)" if whole else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.fine = self.coarse if whole else re.compile(f"{MARK}*(?:[^{MARK}{listed}]+|[{listed}]+)|{MARK}+")
+        self.odd = re.compile(f"[{''.join(map(re.escape, sorted(odd)))}]") if odd else re.compile("(?!)")
         return {}
 
     def _merged(self, text: str) -> list[str]:
@@ -71,65 +83,60 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def is_stable(self, left: str, right: str) -> bool:
-        """Whether two pieces may stand side by side; left is empty for the first piece."""
-        if len(self.stable) > 2_000_000:
+    def _is_stable(self, left: int, right: int) -> bool:
+        """Whether two pieces may stand side by side; left is 0 for the first piece."""
+        if len(self.stable) > 1_000_000:
             self.stable.clear()
-        known = self.stable[left, right] = self._merged(left + right) == ([left, right] if left else [right])
+        both = [n for n in (self.names[left], self.names[right]) if n]
+        known = self.stable[left << 21 | right] = self._merged("".join(both)) == both
         return known
 
+    def _other(self, char: str) -> int:
+        """The state of a character that is no piece; it gives its bytes."""
+        if char not in self.others:
+            self.others[char] = len(self.names)
+            self.names.append(char)
+        return self.others[char]
+
     def shortest_path(self, part: str) -> list[int]:
-        """Piece ids of a part without cuts. Every place is reached by one path of finite weight
-        at most, so its first arc found is its best, and that arc's piece is the state there."""
-        ids, known, n = self.ids, self.stable.get, len(part)
-        if part in ids and self.is_stable("", part):
-            return [ids[part]]
-        last: list[str | None] = ["", *[None] * n]
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = part[start:end]
-                if piece in ids and (before := last[start]) is not None:
-                    finite = known((before, piece))
-                    if self.is_stable(before, piece) if finite is None else finite:
+        """Piece ids of a part. Every place is reached by one path of finite weight at most, so the
+        last piece of that path is the only state there."""
+        arc, known, n = self.arcs.get, self.stable.get, len(part)
+        last = [0] + [-1] * n
+        for start in range(n):
+            before = last[start]
+            if before < 0:
+                continue
+            for end in range(start + 1, n + 1):
+                piece = arc(part[start:end])
+                more = piece is not None
+                if end == start + 1 and (piece is None or piece < 0):
+                    piece = self._other(part[start])
+                if piece is not None and piece >= 0:
+                    finite = known(before << 21 | piece)
+                    if self._is_stable(before, piece) if finite is None else finite:
                         last[end] = piece
-                        break
+                if not more:
+                    break
         out: list[int] = []
+        names, top = self.names, len(self.texts)
         while n:
             piece = last[n]
-            out.append(ids[piece])  # type: ignore[index]
-            n -= len(piece)  # type: ignore[arg-type]
+            out += [piece] if piece < top else [self.bytes[b] for b in reversed(names[piece].encode())]
+            n -= len(names[piece])
         return out[::-1]
 
-    def _encode_part(self, part: str) -> list[int]:
-        """Cuts the part at characters that no piece joins, and characters that no piece has."""
-        out: list[int] = []
-        start = 0
-        for i in range(1, len(part) + 1):
-            if i == len(part) or part[i - 1 : i + 1] not in self.together:
-                piece = part[start:i]
-                if len(piece) == 1 and piece not in self.ids:
-                    out += [self.bytes[b] for b in piece.encode()]
-                else:
-                    found = self.parts.get(piece)
-                    if found is None:
-                        found = self.parts[piece] = self.shortest_path(piece)
-                    out += found
-                start = i
-        return out
-
     def encode(self, text: str) -> list[int]:
         self._compiled  # noqa: B018
         if not text:
             return []
         if len(self.parts) > self.max_parts:
             self.parts.clear()
-        known, out = self.parts, []
-        for part in self.split.findall(self.prefix + text.replace(" ", MARK)):
-            found = known.get(part)
-            if found is None:
-                found = known[part] = self._encode_part(part)
-            out += found
-        return out
+        parts = (self.coarse if self.odd.search(text) else self.fine).findall(self.prefix + text.replace(" ", MARK))
+        known = self.parts
+        for part in set(parts).difference(known):
+            known[part] = self.shortest_path(part)
+        return list(chain.from_iterable(map(known.__getitem__, parts)))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of piece ids: bytes joined, the leading space mark taken off."""
