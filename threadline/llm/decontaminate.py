@@ -181,7 +181,7 @@ def _runs(flags: np.ndarray) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_words: int = 2_000_000, block_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_words: int = 2_000_000, block_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_words, items (ids as strings, sorted), spans (merged
     word ranges inside any phrase, end exclusive).
 
@@ -207,7 +207,7 @@ def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: in
     return n, (Phrases([(r.item, r.text.encode()) for r in own(k)], window) for k in range(n))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_words: int = 2_000_000, block_bytes: int = 32 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_words: int = 2_000_000, block_bytes: int = 2 << 20) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no phrase of the benchmark; one
     narrow pass for each block of phrases."""
     n_blocks, blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)
