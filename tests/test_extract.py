@@ -86,6 +86,14 @@ def test_issues(spark):
     assert all(r.snippet.startswith("<ytd-comment") for r in issues)
 
 
+def test_nested_threads(spark):
+    inner = '<div id="comment"><i id="content-text">{}</i></div>'
+    html = thread(thread(inner.format("in")) + inner.format("out")) + thread(inner.format("next"))
+    texts = lambda **how: [r.text for r in E.parse_threads(E.find_threads(page(spark, html), **how)).orderBy("thread_ord").collect()]
+    assert texts(outermost=True) == ["in", "next"]
+    assert "in" in texts() and "next" in texts()
+
+
 def test_titles(spark):
     first = '<ytd-watch-metadata><h1 class="x ytd-watch-metadata"><yt-formatted-string> A </yt-formatted-string></h1></ytd-watch-metadata>'
     pages = page(spark, f"<title>T</title>{first}", "<title> T </title><div id='title'><h1>C</h1></div>", "<title>T</title>", "<p>x", '<title>T</title><h1 class="ytd-watch-metadata"></h1>', None)

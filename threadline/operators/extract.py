@@ -51,15 +51,22 @@ def outer_html(els: str, outer: Column, n: int) -> Column:
     return slice_n(F.array_join(F.transform(F.filter(els, lambda e: F.coalesce((e["ord"] >= outer["ord"]) & (e["ord"] <= outer["end"]), F.lit(False))), lambda e: e["raw"]), ""), n)
 
 
-def find_threads(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
+def find_threads(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html", outermost: bool = False) -> DataFrame:
     """(keys, thread_ord, thread, els): every thread with its elements and texts, in document order.
 
     One shuffle by page: windows carry the latest thread to what follows, and the elements of a
     thread are gathered where they are. A thread inside another is a row of its own, and its
-    content counts for it alone."""
+    content counts for it alone; with ``outermost``, as for fragments that arrive, it is only
+    content of the one around it."""
     page = Window.partitionBy(*keys).orderBy("ord")
-    opened = F.when((F.col("tag") == THREAD) & (F.col("kind") == "open"), F.struct("ord", "end", "kind", "tag", "raw", "attrs", "text"))
-    rows = nodes(pages, keys, html).withColumn("thread", F.last(opened, ignorenulls=True).over(page))
+    rows = nodes(pages, keys, html)
+    is_thread = (F.col("tag") == THREAD) & (F.col("kind") == "open")
+    if outermost:
+        before = F.max(F.when(is_thread, F.col("end"))).over(page.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("around", before)
+        is_thread = is_thread & (F.col("around").isNull() | (F.col("around") < F.col("ord")))
+    opened = F.when(is_thread, F.struct("ord", "end", "kind", "tag", "raw", "attrs", "text"))
+    rows = rows.withColumn("thread", F.last(opened, ignorenulls=True).over(page))
     rows = rows.filter(F.col("ord").between(F.col("thread.ord"), F.col("thread.end")))
     els = F.sort_array(F.collect_list(F.struct("ord", "end", "kind", "tag", "raw", "attrs", "text")))
     return rows.groupBy(*keys, F.col("thread.ord").alias("thread_ord")).agg(F.any_value("thread").alias("thread"), els.alias("els"))

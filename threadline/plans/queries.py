@@ -224,7 +224,7 @@ def shred_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flatten_threads", _with(_TURNS, "SELECT run_id, turn::BIGINT AS snapshot_seq, count(*) AS threads FROM t WHERE turn % 2 = 1 GROUP BY run_id, turn"))
 def flatten_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.find_threads(fx.live_snapshots(spark, sf_dir), KEYS).groupBy("run_id", "snapshot_seq").agg(F.count("*").alias("threads"))
+    return E.find_threads(fx.live_snapshots(spark, sf_dir), KEYS, outermost=True).groupBy("run_id", "snapshot_seq").agg(F.count("*").alias("threads"))
 
 
 @query("find_threads", _with(_TURNS, "SELECT run_id, page_id, pos FROM t"))

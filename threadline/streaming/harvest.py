@@ -19,9 +19,9 @@ KEYS = ("run_id", "snapshot_seq", "page_id")
 COMMENTS_DDL = "run_id string, snapshot_seq long, page_id long, thread_ord long, layout string, text string, likes long, replyCount long, _key string, arrival_seq struct<pass:int,snapshot_seq:bigint,thread_ord:bigint>"
 
 
-def parse_batch(snapshots: DataFrame) -> DataFrame:
-    """The comments of a batch of fragments, with their arrival."""
-    rows = with_arrival(parse_threads(find_threads(snapshots, KEYS), KEYS))
+def parse_batch(snapshots: DataFrame, outermost: bool = False) -> DataFrame:
+    """The comments of a batch of fragments or whole pages, with their arrival."""
+    rows = with_arrival(parse_threads(find_threads(snapshots, KEYS, outermost=outermost), KEYS))
     return rows.select(*KEYS, "thread_ord", "layout", "text", "likes", "replyCount", "_key", "arrival_seq")
 
 
@@ -35,7 +35,7 @@ def first_wins_batch(out: str) -> Callable[[DataFrame, int], None]:
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = dedup_first_wins(parse_batch(batch))
+        new = dedup_first_wins(parse_batch(batch, outermost=True))
         if batch_id:
             known = committed(spark, out).filter(F.col("batch") < batch_id).select("run_id", "_key")
             new = new.join(known, ["run_id", "_key"], "left_anti")
