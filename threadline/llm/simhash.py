@@ -200,7 +200,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows of that id count as copies and give one row; rows without id stay."""
     ids = written(simhash_components(docs, id_col, text_col, **how).select("doc_id", "component_id"), "near-dups")
     gone = ids.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
+    kept = docs.join(gone.hint("merge"), id_col, "left_anti")  # the same plan at every size
     repeated = ids.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return kept
