@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,27 @@ def test_grammar_compresses():
     ids = np.tile(np.arange(50), 200)
     ends = np.zeros(len(ids), bool)
     ends[-1] = True
-    assert max(len(T.repair(ids, ends, base)[3]) for base in (100, 1 << 20)) < len(ids) / 6
+    assert max(len(T.repair(ids, ends, base)[3]) for base in (100, 1 << 20)) < len(ids) / 8
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=200), min_size=1, max_size=6), st.sampled_from([1, 2, 4096]))
+def test_no_frequent_pair_is_left(docs, per_round):
+    ends = np.zeros(sum(map(len, docs)), bool)
+    ends[np.cumsum([len(d) for d in docs]) - 1] = True
+    for base in (4, 1 << 20):
+        left, right, lengths, symbols = T.repair(np.concatenate(docs), ends, base, per_round=per_round)
+        stop = np.isin(np.cumsum(np.where(symbols < base, 1, lengths[np.maximum(symbols - base, 0)] if len(lengths) else 1)) - 1, np.flatnonzero(ends))
+        found = Counter((a, b) for a, b, s in zip(symbols[:-1].tolist(), symbols[1:].tolist(), stop[:-1].tolist(), strict=True) if not s)
+        assert max(found.values(), default=0) < 6
+        assert T.expand(symbols, base, left, right).tolist() == np.concatenate(docs).tolist()
+
+
+def test_long_copies_become_one_symbol_each():
+    copy = np.random.default_rng(1).integers(0, 50_000, 1000)
+    ids, ends = np.tile(copy, 64), np.tile(np.arange(1000) == 999, 64)
+    left, right, lengths, symbols = T.repair(ids, ends, 50_000, per_round=100)
+    assert len(symbols) <= 64 * 8 and lengths.max() > 64
 
 
 UNITS = ["", " ", "  ", "a  b", "a b ", "\n \n a", "foo\n bar", "foo\n  bar", " lead", "x\u00a0y", "a\u2003 b", "a<|endoftext|> b <|endoftext|> c", "tab\t x", "I'm  we've 's 'll", "é 😀 ﷽ x", "a\u3000 b", " a\n", "a\n \nb", "a\r\nb \r\n c", "\x85 a \x1c b", "x.\ny,\n\nz!!\t\tq 9%. $5.00, ². a². …. é…. 'tis.' (x).) a*b**. a\r\nb.\r\n c", "a.\n\tb a.\n\t\tb", "a\nb\nc\nd.\n", "nul\x00 in. it", "dog's. ×. é. <|endoftext|>. ."]

@@ -131,7 +131,7 @@ def _little(ids: array) -> bytes:
     return ids.tobytes()
 
 
-_HASH_BITS = 16
+_HASH_BITS = 18
 
 
 def _hash(key: np.ndarray) -> np.ndarray:
@@ -141,49 +141,65 @@ def _hash(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, per_round: int = 4096, least: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = 4096, least: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """left, right and lengths of the rules, and the compressed symbols. ends flags the last id of
     each document. In each round the most frequent pairs, found ``least`` times or more, get
-    nonterminals; where pairs overlap, every other one is taken, from the left."""
-    small = base + rounds * per_round <= 1 << 16  # then a pair fits into 32 bits
-    kind, bits = (np.uint32, 16) if small else (np.uint64, 32)
-    mask = kind((1 << bits) - 1)
-    seq, ends = ids.astype(kind), ends.copy()
+    nonterminals; where pairs overlap, every other one is taken, from the left. It ends when no
+    pair is found ``least`` times.
+
+    ``live`` flags the places whose pair may be found that often: a pair found less often never
+    becomes more frequent, so after a round only those and the neighbours of new nonterminals
+    are counted."""
+    seq, ends = ids.astype(np.uint32), ends.copy()
     left, right, lengths = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = lambda s: np.where(s < base, 1, lengths[np.maximum(s - base, 0)]) if len(lengths) else np.ones(len(s), np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        key = seq[:-1] << kind(bits) | seq[1:]
-        ordered = np.sort(key[~ends[:-1]])
-        at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[at, len(ordered)])
+    live = ~ends
+    while True:
+        live[-1:] = False
+        at = np.flatnonzero(live)
+        n = base + len(left)
+        kind, bits = (np.uint32, 16) if n <= 1 << 16 else (np.uint64, 32)  # a pair in 32 bits while it fits
+        key = seq[at].astype(kind) << kind(bits) | seq[at + 1]
+        ordered = np.sort(key)
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[first, len(ordered)])
         often = count >= least
-        pairs, count = ordered[at][often], count[often]
+        pairs, count = ordered[first][often], count[often]
         if not len(pairs):
-            break
+            return left, right, lengths, seq.astype(np.int64)
+        slots = _hash(key)
+        frequent = np.zeros(1 << _HASH_BITS, bool)
+        frequent[_hash(pairs)] = True
+        stay = frequent[slots]
+        at, key, slots = at[stay], key[stay], slots[stay]
+        live[:] = False
+        live[at] = True
         pairs = pairs[np.argsort(-count, kind="stable")[:per_round]]
         # a table by hash; of pairs that share a place in it, the others wait for the next round
-        n = base + len(left)
         slot, first = np.unique(_hash(pairs), return_index=True)
         pairs = pairs[first]
         owner = np.full(1 << _HASH_BITS, -1, np.int32)
         owner[slot] = np.arange(len(pairs))
-        rule = owner[_hash(key)]
-        place = np.flatnonzero((rule >= 0) & (pairs[rule] == key) & ~ends[:-1])
-        rule = rule[place]
+        rule = owner[slots]
+        own = (rule >= 0) & (pairs[rule] == key)
+        place, rule = at[own], rule[own]
         run = np.r_[True, np.diff(place) > 1]  # of overlapping places, every other one
         odd = (np.arange(len(place)) - np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))) % 2 == 1
         place, rule = place[~odd], rule[~odd]
-        new_left, new_right = (pairs >> kind(bits)).astype(np.int64), (pairs & mask).astype(np.int64)
+        # half the places or more are taken, so one pair at least keeps half of its own; the others wait
+        good = 2 * np.bincount(rule, minlength=len(pairs)) >= least
+        place, rule, pairs = place[good[rule]], (np.cumsum(good) - 1)[rule[good[rule]]], pairs[good]
+        new_left, new_right = (pairs >> kind(bits)).astype(np.int64), (pairs & kind((1 << bits) - 1)).astype(np.int64)
         lengths = np.concatenate([lengths, size(new_left) + size(new_right)])
         left, right = np.concatenate([left, new_left]), np.concatenate([right, new_right])
-        seq[place] = (n + rule).astype(kind)
+        seq[place] = (n + rule).astype(np.uint32)
         ends[place] = ends[place + 1]
+        live[place] = True
+        live[np.maximum(place - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[place + 1] = False
-        seq, ends = seq[keep], ends[keep]
-    return left, right, lengths, seq.astype(np.int64)
+        seq, ends, live = seq[keep], ends[keep], live[keep]
+        live &= ~ends
 
 
 def expand(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
