@@ -112,6 +112,26 @@ def test_pii_of_awkward_rows(spark, awkward, nothing):
     assert P.redact("abcdef", [(1, 3, "ip"), (2, 4, "card")]) == "a[IP]ef"
 
 
+BESIDE = [
+    ("Tel 555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"], "phone"), ("2024-01-15 555-123-4567", ["555-123-4567"], "phone"), ("call (614) 555-3069 (614) 555-3070", ["(614) 555-3069", "(614) 555-3070"], "phone"),
+    ("4111 1111 1111 1112 5500 0000 0000 0004", ["5500 0000 0000 0004"], "card"), ("10.0.0.1 10.0.0.2", ["10.0.0.1", "10.0.0.2"], "ip"),
+]
+
+
+def test_numbers_side_by_side(spark):
+    for text, want, kind in BESIDE:
+        assert set(want) <= {text[a:b] for a, b, k in P.candidates(text) if k == kind}
+    model = P.fit_pii(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for text, want, kind in BESIDE:
+        assert [(text[a:b], k) for a, b, k in model.spans(text)[1]] == [(w, kind) for w in want]
+    assert model.spans(" ".join(map(str, range(15))))[1] == []
+
+
+def test_candidates_grow_with_the_text():
+    numbers = "555-123-4567 " * 100
+    assert len(list(P.candidates(numbers * 10))) <= 11 * len(list(P.candidates(numbers)))
+
+
 # ---- secrets
 
 
