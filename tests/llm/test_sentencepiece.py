@@ -22,28 +22,49 @@ def test_same_as_library(both, text):
     assert transducer.decode(ids) == text.replace(W.MARK, " ")
 
 
-def plain_path(t, part):
-    """All sequences of pieces over a part whose neighbours are stable."""
-    t.encode("a")
+def plain_paths(t, part):
+    """Every sequence of labels over a part that the pieces and byte fallback allow, with its weight:
+    1 for a piece, the bytes of a bare character, infinity for neighbours that encode otherwise."""
     out = []
 
-    def go(at, path):
+    def go(at, path, weight):
         if at == len(part):
-            out.append(path)
+            out.append((weight, [t.ids[p] for p in path] if all(p in t.ids for p in path) else path))
         for end in range(at + 1, len(part) + 1):
             piece = part[at:end]
-            if piece in t.ids and t._merged("".join([*path[-1:], piece])) == [*path[-1:], piece]:
-                go(end, [*path, piece])
+            bare = end == at + 1 and piece not in t.ids
+            if piece in t.ids or bare:
+                both = [*path[-1:], piece]
+                stable = t.merged("".join(both)) == both
+                go(end, [*path, piece], weight + (len(piece.encode()) if bare else 1) + (0 if stable else float("inf")))
 
-    go(0, [])
-    return out
+    go(0, [], 0.0)
+    return sorted(out)
 
 
-@pytest.mark.parametrize("part", ["▁thing", "▁aaaaaaa", "▁▁▁▁▁", "▁tionen", "érent", "▁international", "eeeee"])
-def test_one_finite_path(both, part):
-    paths = plain_path(both[0], part)
-    assert len(paths) == 1
-    assert [both[0].ids[p] for p in paths[0]] == both[0].shortest_path(part)
+@pytest.mark.parametrize("part", ["▁thing", "▁aaaaaaa", "▁▁▁▁▁", "▁tionen", "érent", "▁internal", "eeeee", "a\U0001f600b", "\x07\x07", "▁q\u0378z"])
+def test_shortest_path_of_the_composition(both, part):
+    paths = plain_paths(both[0], part)
+    weight, ends, labels = both[0].shortest_paths([part])
+    assert [w for w, _ in paths].count(float("inf")) == len(paths) - 1  # one path alone is finite
+    assert weight.tolist() == [paths[0][0]] and ends.tolist() == [len(labels)]
+    top = len(both[0].names)
+    if labels.max() < top:
+        assert labels.tolist() == paths[0][1]
+    else:
+        assert [both[0].names[x] if x < top else chr(x - top) for x in labels.tolist()] == paths[0][1]
+
+
+def test_parts_side_by_side(both, monkeypatch):
+    parts = ["▁thing", "a\U0001f600b", "x" * 700, "e", "▁" * 40, "inter" * 30]
+    alone = [both[0].encode_parts([p])[0] for p in parts]
+    monkeypatch.setattr(W, "_CELLS", 1000)
+    assert both[0].encode_parts(parts) == alone
+
+
+def test_long_run_without_cuts(both):
+    text = "abcdefghij" * 3_000
+    assert both[0].encode(text) == both[1].encode(text)
 
 
 def test_documents(spark, sf_dir, both):
@@ -64,7 +85,7 @@ def test_awkward_rows(spark, awkward, nothing, both):
 
 
 def test_bounded_memory():
-    small = W.Transducer(open(PATH, "rb").read(), max_parts=3)
+    small = W.Transducer(open(PATH, "rb").read(), max_bytes=600)
     want = W.load_transducer(PATH)
     for text in ("one two three four", "five six seven eight nine", "one two ten"):
         assert small.encode(text) == want.encode(text)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +16,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a fresh one, but only in
+    local mode: on a cluster executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "local").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="spark-shared-")
     return _OWN["dir"]
@@ -51,3 +57,42 @@ def by_batch(make: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Calla
                 )
 
     return run
+
+
+class Recent:
+    """What was looked up lately, in about ``max_bytes``: of a younger and an older half, the older
+    one goes when the younger is full, so that what is asked often stays."""
+
+    def __init__(self, max_bytes: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.half, self.used = max_bytes // 2, 0
+
+    def get(self, keys: Sequence, make: Callable[[list], Sequence]) -> list:
+        """The values of distinct keys; ``make`` gives those of the keys that aren't known."""
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        missing = [i for i, v in enumerate(out) if v is None]
+        found = [old.get(keys[i]) for i in missing]
+        new = iter(make([keys[i] for i, v in zip(missing, found, strict=True) if v is None]) if None in found else ())
+        for i, v in zip(missing, found, strict=True):
+            key = keys[i]
+            out[i] = young[key] = v = next(new) if v is None else v
+            self.used += 100 + sys.getsizeof(key) + sys.getsizeof(v)
+        if self.used > self.half:
+            self.old, self.young, self.used = young, {}, 0
+        return out
+
+
+_BUILT: dict[tuple, Any] = {}
+
+
+def built_once(kind: type, model: bytes | str, *how: Any) -> Any:
+    """kind(model, *how), built once in a Python worker: Spark gives a worker many tasks, and what one
+    has looked up serves the next. The last few are kept."""
+    key = (kind, hashlib.blake2b(model if isinstance(model, bytes) else model.encode()).digest(), *how)
+    if key not in _BUILT:
+        while len(_BUILT) >= 4:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[key] = kind(model, *how)
+    return _BUILT[key]

@@ -1,15 +1,32 @@
 """SentencePiece encoding and decoding by weighted finite-state transducer.
 
-The model's pieces, its normaliser (a leading space mark, spaces as marks) and byte fallback
-compile to a transducer over characters. Its states remember the last piece, because a BPE
-model accepts a sequence of pieces exactly when every two neighbours are stable: encoding
-their joint text gives those two again. A step between unstable neighbours weighs infinity,
-any other one 1. So of all paths over an input exactly one has a finite weight, and the
-tropical shortest path is the encoding that the model defines.
+Three machines are compiled from the model:
+
+- the normaliser: a leading space mark comes from nothing, spaces become space marks, any
+  other character stays;
+- the pieces: the states are the beginnings of pieces, an arc reads a character, and where a
+  piece ends an arc gives its id and leads back, with weight 1;
+- byte fallback: an arc for any character that is no piece gives its bytes, with their number
+  as weight.
+
+A BPE model accepts a sequence of pieces exactly when any two neighbours are stable: encoding
+their joint text gives those two again. So an acceptor of pairs is intersected with the
+output: its weight is 0 between stable neighbours, else infinity. Composed with an input (arc
+by arc, as far as places are reached) this gives a lattice of states (place, last piece), and
+its shortest path in the tropical semiring (min, +) is the encoding that the model defines. At
+any place one state at most has a finite weight, the last piece of the encoding of what stands
+before it, so a lattice keeps one weight for each place. The lattices of many inputs are built
+and relaxed side by side, a place and a length of arc at a time.
 
 Texts are cut where no piece can reach across (before space marks, and between signs and
-other characters, as far as these stand together in no piece); paths over the parts join to
-the path over the whole, and parts that come again in a task are looked up. Encoding is one narrow pass; the model's file travels with the tasks.
+other characters, as far as these stand together in no piece); shortest paths over the parts
+join to the one over the whole. Parts that come again are looked up, also in later tasks of
+the same Python worker, in a table of ``max_bytes``. Encoding is one narrow pass; the model's
+file travels with the tasks.
+
+Rows: null and empty texts give no ids; repeated rows each give a row; an empty table gives
+no rows; other columns, also with names used here, are ignored. A very long text without any
+cut is one part; its lattice takes memory and time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -17,8 +34,7 @@ from __future__ import annotations
 import re
 import string
 import zlib
-from collections.abc import Iterable
-from functools import cached_property
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -28,38 +44,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import by_batch, utf8
+from .common import Recent, built_once, by_batch
 
 MARK = "▁"
+START = (1 << 21) - 1  # the label before the first
 _NORMAL, _USER, _BYTE = 1, 4, 6
+_SLICE = 1000  # texts encoded at once
 
+_CELLS = 4 << 20  # places of lattices relaxed side by side
 
-class Transducer:
-    """The compiled model. ``max_parts`` bounds what is looked up; beyond it, it starts anew."""
-
-    def __init__(self, model: bytes, max_parts: int = 800_000):
-        self.model, self.max_parts = model, max_parts
 
-    def __reduce__(self):
-        return type(self), (self.model, self.max_parts)
+class Transducer:
+    """The compiled model. Labels of arcs are piece ids; those of byte fallback follow after them."""
 
-    @cached_property
-    def _compiled(self) -> dict:
-        proto = sentencepiece_model_pb2.ModelProto.FromString(self.model)
+    def __init__(self, model: bytes, max_bytes: int = 160 << 20):
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model)
         if proto.trainer_spec.model_type != proto.trainer_spec.BPE or proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only BPE models with the identity normaliser are compiled")
+        self.model, self.max_bytes = model, max_bytes
         pieces = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type in (_NORMAL, _USER)}
         self.prefix = MARK if proto.normalizer_spec.add_dummy_prefix else ""
         self.ids = {p: i for p, (i, _) in pieces.items()}
         self.scores = {p: s for p, (_, s) in pieces.items()}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.texts = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(MARK, " ").encode() if p.type in (_NORMAL, _USER) else b"" for p in proto.pieces]
-        # arcs by text: a piece's id, or -1 for what only begins a piece
-        self.arcs = {p[:i]: -1 for p in pieces for i in range(1, len(p))} | self.ids
-        self.names = ["", *(p.piece for p in proto.pieces[1:])]  # state 0 is the start
-        self.others: dict[str, int] = {}
-        self.stable: dict[int, bool] = {}
-        self.parts: dict[str, list[int]] = {}
+        # the piece machine: states are beginnings of pieces, 0 the empty one; arcs by state and
+        # character are sorted for a binary search, and ends has the id of a piece that ends there
+        beginnings = sorted({p[:i] for p in pieces for i in range(len(p) + 1)})
+        number = {b: i for i, b in enumerate(beginnings)}
+        self.alphabet = np.array(sorted({ord(c) for p in pieces for c in p}), np.uint32)
+        arcs = sorted((number[b[:-1]] * (len(self.alphabet) + 1) + int(np.searchsorted(self.alphabet, ord(b[-1]))), number[b]) for b in beginnings[1:])
+        self.arc_keys, self.arc_to = np.array(arcs, np.int64).reshape(-1, 2).T.copy()
+        self.ends = np.array([self.ids.get(b, -1) for b in beginnings], np.int64)
+        self.alone = np.array([chr(c) in self.ids for c in self.alphabet] + [False])
+        self.names = [p.piece for p in proto.pieces]
+        self.pairs: dict[int, float] = {}
+        self.old_pairs: dict[int, float] = {}
+        self.parts = Recent(max_bytes)
         # a space mark begins a part, and so does a change between signs and other characters,
         # as far as no piece has the two side by side
         together = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
@@ -70,9 +91,14 @@ class Transducer:
         self.coarse = re.compile("(?s:.+)" if whole else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.fine = self.coarse if whole else re.compile(f"{MARK}*(?:[^{MARK}{listed}]+|[{listed}]+)|{MARK}+")
         self.odd = re.compile(f"[{''.join(map(re.escape, sorted(odd)))}]") if odd else re.compile("(?!)")
-        return {}
 
-    def _merged(self, text: str) -> list[str]:
+    def __reduce__(self):
+        return built_once, (type(self), self.model, self.max_bytes)
+
+    def normalise(self, text: str) -> str:
+        return self.prefix + text.replace(" ", MARK)
+
+    def merged(self, text: str) -> list[str]:
         """Characters merged pair by pair, best score and then leftmost first."""
         parts = list(text)
         while len(parts) > 1:
@@ -83,78 +109,112 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _is_stable(self, left: int, right: int) -> bool:
-        """Whether two pieces may stand side by side; left is 0 for the first piece."""
-        if len(self.stable) > 1_000_000:
-            self.stable.clear()
-        both = [n for n in (self.names[left], self.names[right]) if n]
-        known = self.stable[left << 21 | right] = self._merged("".join(both)) == both
-        return known
-
-    def _other(self, char: str) -> int:
-        """The state of a character that is no piece; it gives its bytes."""
-        if char not in self.others:
-            self.others[char] = len(self.names)
-            self.names.append(char)
-        return self.others[char]
-
-    def shortest_path(self, part: str) -> list[int]:
-        """Piece ids of a part. Every place is reached by one path of finite weight at most, so the
-        last piece of that path is the only state there."""
-        arc, known, n = self.arcs.get, self.stable.get, len(part)
-        last = [0] + [-1] * n
-        for start in range(n):
-            before = last[start]
-            if before < 0:
-                continue
-            for end in range(start + 1, n + 1):
-                piece = arc(part[start:end])
-                more = piece is not None
-                if end == start + 1 and (piece is None or piece < 0):
-                    piece = self._other(part[start])
-                if piece is not None and piece >= 0:
-                    finite = known(before << 21 | piece)
-                    if self._is_stable(before, piece) if finite is None else finite:
-                        last[end] = piece
-                if not more:
+    def between(self, pairs: np.ndarray) -> np.ndarray:
+        """The acceptor of pairs (left << 21 | right): 0 for stable neighbours, else infinity. Labels
+        from the number of pieces on are characters of byte fallback; START comes before the first."""
+        distinct, at = np.unique(pairs, return_inverse=True)
+        known = list(map(self.pairs.get, distinct.tolist()))
+        for i, pair in enumerate(distinct.tolist()):
+            if known[i] is None:
+                known[i] = self.old_pairs.get(pair)
+                if known[i] is None:
+                    both = [self.names[x] if x < len(self.names) else chr(x - len(self.names)) for x in (pair >> 21, pair & START) if x != START]
+                    known[i] = 0.0 if self.merged("".join(both)) == both else np.inf
+                self.pairs[pair] = known[i]
+        if len(self.pairs) > 400_000:
+            self.old_pairs, self.pairs = self.pairs, {}
+        return np.array(known)[at]
+
+    def shortest_paths(self, parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each part, which isn't empty, the weight of its shortest path and where its labels end
+        among all labels, which come last."""
+        n, size = len(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        width, rows = int(size.max()), np.repeat(np.arange(n), size)
+        chars = np.zeros((n, width), np.uint32)
+        chars[rows, np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)] = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        code = np.searchsorted(self.alphabet, chars)
+        code[np.r_[self.alphabet, 0][code] != chars] = len(self.alphabet)
+        weight, last, back = np.full((n, width + 1), np.inf), np.full((n, width + 1), START), np.zeros((n, width + 1), np.int64)
+        weight[:, 0] = 0
+
+        def relax(of: np.ndarray, start: int, end: int, label: np.ndarray, own: np.ndarray | float) -> None:
+            total = weight[of, start] + own + self.between(last[of, start] << 21 | label)
+            less = total < weight[of, end]
+            weight[of[less], end], last[of[less], end], back[of[less], end] = total[less], label[less], start
+
+        for start in range(width):
+            of = np.flatnonzero((size > start) & (weight[:, start] < np.inf))
+            bare = of[~self.alone[code[of, start]]]
+            if len(bare):
+                char = chars[bare, start].astype(np.int64)
+                relax(bare, start, start + 1, len(self.names) + char, 1 + (char >= 0x80).astype(float) + (char >= 0x800) + (char >= 0x10000))
+            state = np.zeros(len(of), np.int64)
+            for end in range(start + 1, width + 1):
+                key = state * (len(self.alphabet) + 1) + code[of, end - 1]
+                arc = np.minimum(np.searchsorted(self.arc_keys, key), len(self.arc_keys) - 1)
+                on = (self.arc_keys[arc] == key) & (size[of] >= end)
+                of, state = of[on], self.arc_to[arc[on]]
+                if not len(of):
                     break
-        out: list[int] = []
-        names, top = self.names, len(self.texts)
-        while n:
-            piece = last[n]
-            out += [piece] if piece < top else [self.bytes[b] for b in reversed(names[piece].encode())]
-            n -= len(names[piece])
-        return out[::-1]
+                piece = self.ends[state]
+                full = piece >= 0
+                if full.any():
+                    relax(of[full], start, end, piece[full], 1.0)
+        at, steps = size.copy(), []
+        of = np.flatnonzero(weight[np.arange(n), size] < np.inf)
+        total = weight[np.arange(n), size]
+        while len(of):  # back along the paths, all at once
+            steps.append((of, last[of, at[of]]))
+            at[of] = back[of, at[of]]
+            of = of[at[of] > 0]
+        owner, label = (np.concatenate(x[::-1]) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(owner, kind="stable")
+        return total, np.cumsum(np.bincount(owner, minlength=n)), label[order]
+
+    def encode_parts(self, parts: Sequence[str]) -> list[tuple[int, ...]]:
+        """The piece ids of the shortest path over each part; parts of like length go side by side."""
+        out: list = [()] * len(parts)
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        while order:
+            n = max(1, min(len(order), _CELLS // len(parts[order[-1]])))
+            group, order = order[-n:], order[:-n]
+            weight, ends, labels = self.shortest_paths([parts[i] for i in group])
+            if np.isinf(weight).any():
+                raise ValueError(f"no path over {parts[group[int(np.isinf(weight).argmax())]][:50]!r}")
+            flat, begin, top = labels.tolist(), 0, len(self.names)
+            some_bare = bool((labels >= top).any())
+            for i, end in zip(group, ends.tolist(), strict=True):
+                own, begin = flat[begin:end], end
+                out[i] = tuple(chain.from_iterable((x,) if x < top else map(self.bytes.__getitem__, chr(x - top).encode()) for x in own) if some_bare else own)
+        return out
+
+    def encode_batch(self, texts: Sequence[str]) -> Iterator[list[int]]:
+        """The piece ids of each text; what comes again among all of them is looked up once."""
+        for at in range(0, len(texts), _SLICE):
+            cut = [(self.coarse if self.odd.search(t) else self.fine).findall(self.normalise(t)) if t else [] for t in texts[at : at + _SLICE]]
+            parts = list(set().union(*cut))
+            known = dict(zip(parts, self.parts.get(parts, self.encode_parts), strict=True))
+            yield from (list(chain.from_iterable(map(known.__getitem__, c))) for c in cut)
 
     def encode(self, text: str) -> list[int]:
-        self._compiled  # noqa: B018
-        if not text:
-            return []
-        if len(self.parts) > self.max_parts:
-            self.parts.clear()
-        parts = (self.coarse if self.odd.search(text) else self.fine).findall(self.prefix + text.replace(" ", MARK))
-        known = self.parts
-        for part in set(parts).difference(known):
-            known[part] = self.shortest_path(part)
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
+        return next(self.encode_batch([text]))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of piece ids: bytes joined, the leading space mark taken off."""
-        self._compiled  # noqa: B018
         raw = b"".join([self.texts[i] for i in ids])
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 def load_transducer(path: str) -> Transducer:
     with open(path, "rb") as f:
-        return Transducer(f.read())
+        return built_once(Transducer, f.read(), 160 << 20)
 
 
 def encode_docs(docs: DataFrame, transducer: Transducer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pieces): the piece ids of every row. Null and empty texts give no ids; repeated
     rows each give a row; an empty table gives no rows; other columns are ignored."""
     schema = pa.schema([("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32()))])
-    make = lambda b: {"doc_id": b.column(0), "pieces": [transducer.encode(t or "") for t in b.column(1).to_pylist()]}
+    make = lambda b: {"doc_id": b.column(0), "pieces": list(transducer.encode_batch([t or "" for t in b.column(1).to_pylist()]))}
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(by_batch(make, schema), "doc_id long, pieces array<int>")
 
@@ -174,9 +234,8 @@ def round_trip(docs: DataFrame, transducer: Transducer, id_col: str = "doc_id",
 
     def make(batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": batch.column(0), "n_pieces": [], "pieces_crc32": [], "text_crc32": [], "exact": []}
-        for raw in utf8(batch.column(1)):
-            text = (raw or b"").decode()
-            ids = transducer.encode(text)
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for text, ids in zip(texts, transducer.encode_batch(texts), strict=True):
             again = transducer.decode(ids)
             out["n_pieces"].append(len(ids))
             out["pieces_crc32"].append(zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -194,9 +253,12 @@ def encode_checked(docs: DataFrame, transducer: Transducer, id_col: str = "doc_i
 
     def make(batch: pa.RecordBatch) -> dict:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        ids = [np.array(transducer.encode(t), np.int32) for t in texts]
-        exact = [transducer.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
-        return {"doc_id": batch.column(0), "n_pieces": [len(i) for i in ids], "pieces": ids, "exact": exact}
+        out: dict = {"doc_id": batch.column(0), "n_pieces": [], "pieces": [], "exact": []}
+        for text, ids in zip(texts, transducer.encode_batch(texts), strict=True):
+            out["n_pieces"].append(len(ids))
+            out["pieces"].append(np.array(ids, np.int32))
+            out["exact"].append(transducer.decode(ids) == text)
+        return out
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(by_batch(make, schema), "doc_id long, n_pieces long, pieces array<int>, exact boolean")
