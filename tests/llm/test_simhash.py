@@ -88,6 +88,66 @@ def test_awkward_rows(spark, awkward, nothing):
     assert S.simhash_components(nothing).count() == S.near_dedup(nothing).count() == 0
 
 
+def shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def check_near_dedup(before, kept):
+    """before, kept: texts by id. No two kept texts are alike, and what went is like another text."""
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    sets = {i: shingles(t) for i, t in before.items()}
+    left = sorted(kept)
+    assert not [(i, j) for n, i in enumerate(left) for j in left[:n] if sets[i] & sets[j] and likeness(sets[i], sets[j]) >= 0.8]
+    for i in set(before) - set(kept):
+        assert max(likeness(sets[i], s) for j, s in sets.items() if j != i) > 0.7
+    return len(left)
+
+
+def test_near_dedup_against_shingles(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert 1 < check_near_dedup(texts, [r.doc_id for r in S.near_dedup(docs).collect()]) < len(texts)
+
+
+def test_recall_by_similarity():
+    r = random.Random(5)
+    found = {}
+    for _ in range(150):
+        words = [str(r.getrandbits(20)) for _ in range(r.choice([60, 200, 700]))]
+        other = list(words)
+        for _ in range(r.randint(0, len(words) // 30)):
+            other[r.randrange(len(words))] = str(r.getrandbits(20))
+        a, b = (" ".join(w) for w in (words, other))
+        (f, k), (g, m) = (S.long_fingerprint(t.encode()) for t in (a, b))
+        likeness = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        distance = int(np.bitwise_count(np.frombuffer(f, "<u8") ^ np.frombuffer(g, "<u8")).sum())
+        found.setdefault(likeness >= 0.8, []).append((distance <= S.link_radius(0.8) and any(x == y for x, y in zip(k, m, strict=True)), likeness))
+    assert np.mean([x for x, _ in found[True]]) >= 0.95
+    assert not any(x for x, likeness in found[False] if likeness < 0.7)
+
+
+@pytest.mark.parametrize("most_gone", [500_000, 0])
+def test_ids_with_several_texts(spark, most_gone):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "totally other words stand here alone"), (None, "x y z"), (None, "x y z"), (None, "p q r"), (7, None), (8, ""), (7, None), (9, "p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("n", F.lit("n")).withColumn("best", F.lit(2))
+    kept = S.near_dedup(docs, most_gone=most_gone)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text) for r in kept.fillna("", ["text"]).collect())
+    assert got == [(0, "x y z"), (1, "a b c d e f"), (5, "totally other words stand here alone"), (7, ""), (9, "p q r")]
+
+
+def test_many_copies_in_few_chunks(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[:i], f"new{i}", *words[i + 1 :]])) for i in range(60)] + [(1000 + i, f"quite different text number {i} of {i * 7} words") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketches = docs.select(F.col("doc_id").alias("node"), F.col("text"))
+    found = {r.node: S.long_fingerprint(r.text.encode()) for r in sketches.collect()}
+    made = spark.createDataFrame([(i, bytearray(f), k) for i, (f, k) in found.items()], "node long, fp binary, keys array<long>")
+    roots = {r.v: r.root for r in S.components(S.similar_links(made, S.link_radius(0.8), bucket_rows=7)).collect()}
+    assert [roots.get(i, i) for i in range(60)] == [0] * 60 and not set(roots) & set(range(1000, 1005))
+
+
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "z y x w v u")], "doc_id long, text string")
     assert sorted(r.doc_id for r in S.near_dedup(docs).collect()) == [1, 2]

@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -33,7 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Deletes the files of a table of written() that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +56,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, texts: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``most`` bytes of the column ``texts``, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def by_batch(make: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Callable:
     """A mapInArrow function that turns each batch into the columns that make() returns."""
 
@@ -70,17 +91,19 @@ class Recent:
 
     def get(self, keys: Sequence, make: Callable[[list], Sequence]) -> list:
         """The values of distinct keys; ``make`` gives those of the keys that aren't known."""
-        young, old = self.young, self.old
-        out = list(map(young.get, keys))
+        out = list(map(self.young.get, keys))
         missing = [i for i, v in enumerate(out) if v is None]
-        found = [old.get(keys[i]) for i in missing]
-        new = iter(make([keys[i] for i, v in zip(missing, found, strict=True) if v is None]) if None in found else ())
+        asked = [keys[i] for i in missing]
+        found = list(map(self.old.get, asked))
+        if None in found:
+            new = iter(make([k for k, v in zip(asked, found, strict=True) if v is None]))
+            found = [next(new) if v is None else v for v in found]
         for i, v in zip(missing, found, strict=True):
-            key = keys[i]
-            out[i] = young[key] = v = next(new) if v is None else v
-            self.used += 100 + sys.getsizeof(key) + sys.getsizeof(v)
+            out[i] = v
+        self.young.update(zip(asked, found, strict=True))
+        self.used += 100 * len(asked) + sum(map(sys.getsizeof, asked)) + sum(map(sys.getsizeof, found))
         if self.used > self.half:
-            self.old, self.young, self.used = young, {}, 0
+            self.old, self.young, self.used = self.young, {}, 0
         return out
 
 
