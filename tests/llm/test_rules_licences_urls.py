@@ -60,6 +60,23 @@ def test_licences(spark):
     assert scan(docs.filter(F.lit(False))).count() == 0
 
 
+def test_host_verdicts_decide_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = Q.rule_counts(docs).cache()
+    kept = {r.doc_id: r.kept for r in Q.judge(counts).collect()}
+    alone = {r.doc_id: r.kept for r in Q.judge(counts, Q.HostLimits(habit=1e9)).collect()}
+    assert sum(kept[i] != alone[i] for i in kept) > 0 and all(kept[i] for i in alone if alone[i])
+
+
+def test_habits_of_a_host(spark):
+    row = lambda i, host, symbols, base=0: (i, host, 100, 400, symbols, 5, 0, 100 * base)
+    rows = [row(i, "code", 40 if i % 2 else 0) for i in range(400)] + [row(1000 + i, f"h{i % 40}", 40 if i % 201 == 0 else 0) for i in range(4000)]
+    counts = spark.createDataFrame(rows, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+    kept = {r.doc_id: r.kept for r in Q.judge(counts).collect()}
+    assert all(kept[i] for i in range(400))  # full of symbols by habit
+    assert sorted(i for i in kept if not kept[i]) == [1000 + i for i in range(0, 4000, 201)]
+
+
 RULES = (U.Rule("allow", "org", "/"), U.Rule("block", "example.org", "/es/"), U.Rule("allow", "com", "/fr/"))
 
 
@@ -68,15 +85,48 @@ def urls(spark):
     return spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("key", F.lit("clash"))
 
 
+def LISTED(spark):
+    return spark.createDataFrame([("spam.net",), ("spam.net",), (None,), ("nowhere.example",)], "key string")
+
+
+#: Usual licence texts, written as they stand in files, with the licence each should give.
+USUAL = [
+    ("SPDX-License-Identifier: Apache-2.0\nint main() {}", "Apache-2.0"), ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.", "GPL-3.0"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", "Apache-2.0"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.", "GPL-2.0"),
+    ("Copyright (c) 2020, A B\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n* Redistributions", "BSD-3-Clause"),
+    ("BSD 3-Clause License\n\nCopyright (c) 2020", "BSD-3-Clause"), ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", "Unlicense"),
+    ("MIT License\n\nCopyright (c) 2021 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal", "MIT"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache-2.0"),
+    ("Some words before. This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL-2.0"), ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "ISC"),
+]
+
+
+def test_usual_licence_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    usual = spark.createDataFrame([(10_000 + i, t) for i, (t, _) in enumerate(USUAL)], "doc_id long, text string")
+    for rows in (usual, docs.union(usual)):
+        found = {r.doc_id: r.licence for r in L.scan_licences(rows, F.concat(F.lit("r/"), F.col("doc_id")), F.lit(False)).filter("doc_id >= 10000").collect()}
+        assert sum(found[10_000 + i] == name for i, (_, name) in enumerate(USUAL)) >= 0.9 * len(USUAL), found
+
+
+def test_link_heavy_hosts(spark):
+    rows = [(1, "http://A.net/x", "<p>a<p b><a href=x>"), (2, "http://a.net/y", '<a href="1"><a href=2><a href=3>'), (3, "http://b.net", "<p>a<a href=x>"), (4, "http://casino.b", None), (5, None, "<a href=1>"), (6, "http://c.net", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
+    assert sorted(r.key for r in U.link_heavy(pages, ["casino"]).collect()) == ["", "a.net", "casino.b"]
+    assert U.link_heavy(pages.filter(F.lit(False))).count() == 0
+
+
 @pytest.mark.parametrize("limit", [1 << 20, -1])
 def test_urls(spark, limit):
-    got = {r.page_id: tuple(r)[1:] for r in U.filter_urls(urls(spark), F.col("key").contains("spam"), RULES, max_filter_bytes=limit).collect()}
+    got = {r.page_id: tuple(r)[1:] for r in U.filter_urls(urls(spark), LISTED(spark), RULES, max_filter_bytes=limit).collect()}
     assert got == {
         1: ("www.example.org", "/es/1", "example.org/es/", "block"), 2: ("a.org", "/es/", "org/", "allow"), 3: ("org", "", None, "allow"), 4: ("spam.net", "/a", None, "block"), 5: ("", "", None, "allow"),
         6: ("", "", None, "allow"), 7: ("good.net", "", None, "allow"), 8: ("notexample.org", "/es/", "org/", "allow"), 9: ("b.com", "/fr/", "com/fr/", "allow"), None: ("", "", None, "allow"),
     }
-    assert U.filter_urls(urls(spark), F.col("key").contains("spam"), RULES).count() == 11
-    assert U.filter_urls(urls(spark).filter(F.lit(False)), F.lit(True), RULES).count() == 0
+    assert U.filter_urls(urls(spark), LISTED(spark), RULES).count() == 11
+    assert U.filter_urls(urls(spark).filter(F.lit(False)), LISTED(spark), RULES).count() == 0
 
 
 @pytest.mark.parametrize("listed", ["key % 3 = 0", "key % 97 = 0", "key <> 5", "false", "true"])

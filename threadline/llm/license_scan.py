@@ -1,11 +1,14 @@
 """License scans, in DataFrame functions only.
 
-Lines of any part of a text that hold a licence word become sparse TF-IDF vectors and are
-compared by cosine with licence templates. The inverse document frequencies of the template
-terms come from all such lines of the corpus; any other term has the highest value. A
-document without a licence of its own takes that of the nearest ancestor directory with a
-licence file: directories are made distinct first, each is joined with the licence files of
-its ancestors, and documents join the outcome by directory.
+Lines of any part of a text that hold a licence word are compared with licence templates: with
+notices and headers, and with what the texts of licences begin with or are known by. Windows
+as long as the template, which begin with the line or where the line has the template's first
+term and reach into the following lines, become sparse TF-IDF vectors and are compared by
+cosine. The inverse document frequencies of the template terms come from all such lines of
+the corpus; any other term has their mean, however large the corpus is. A line with an SPDX
+identifier is taken at its word. A document without a licence of its own takes that of the nearest
+ancestor directory with a licence file: directories are made distinct first, each is joined
+with the licence files of its ancestors, and documents join the outcome by directory.
 """
 
 from __future__ import annotations
@@ -20,69 +23,99 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Usual notices of common licences.
+#: Usual notices of common licences, and sentences that their texts are known by.
 TEMPLATES = {
-    "MIT": "Released under the MIT License",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
-    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style 3-Clause license",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0",
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    "BSD-3-Clause": (
+        "Use of this source code is governed by a BSD-style 3-Clause license", "BSD 3-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    "EPL-2.0": ("This program is made available under the terms of the Eclipse Public License 2.0",),
+    "GPL-2.0": (
+        "Licensed under the GNU General Public License, version 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "MIT": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain",),
 }
-_TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
-_HINT = r"(?i)licen[sc]|copyright|spdx|public domain"
+TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+HINT = r"(?i)licen[sc]|copyright|public domain|hereby granted|redistribution and use|general public|apache|mozilla|creative commons|unencumbered"
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 
 
-def _weights(text: str) -> Counter:
-    return Counter(re.findall(_TERM, text.lower()))
+def terms_of(text: str) -> list[str]:
+    return re.findall(TERM, text.lower())
 
 
-def licence_lines(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataFrame:
-    """(row, doc_id, path, dir, lines): the candidate lines of each row of docs, as term arrays."""
+def longest(templates: Mapping[str, tuple[str, ...]]) -> int:
+    return max(len(terms_of(t)) for texts in templates.values() for t in texts)
+
+
+def licence_lines(docs: DataFrame, id_col: str, text_col: str, path: Column, reach: int) -> DataFrame:
+    """(doc_id, path, dir, spdx, lines): the candidate lines of each row of docs, as structs of their own
+    terms and of those with up to ``reach`` more from as many following lines."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_HINT))
-    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), lines.alias("lines"))
-    terms = F.transform("lines", lambda x: F.regexp_extract_all(F.lower(x), F.lit(_TERM), 0))
-    return rows.select("doc_id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.array_distinct(terms).alias("lines"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.when(text.rlike(HINT) | text.contains("SPDX"), text).otherwise("").alias("text"))
+    rows = rows.select("doc_id", "path", F.nullif(F.regexp_extract("text", SPDX, 1), F.lit("")).alias("spdx"), F.split("text", "\n").alias("each"))
+    rows = rows.withColumn("terms", F.transform("each", lambda x: F.regexp_extract_all(F.lower(x), F.lit(TERM), 0)))
+    places = F.filter(F.sequence(F.lit(0), F.size("each") - 1), lambda i: F.get("each", i).rlike(HINT))
+    lines = F.transform(places, lambda i: F.struct(F.get("terms", i).alias("own"), F.slice(F.flatten(F.slice("terms", i + 1, reach + 1)), F.lit(1), F.size(F.get("terms", i)) + reach).alias("all")))
+    return rows.select("doc_id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "spdx", F.array_distinct(lines).alias("lines"))
 
 
-def scan_licences(docs: DataFrame, path: Column, is_licence_file: Column, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, least: float = 0.6, salts: int = 32) -> DataFrame:
-    """One row per row of docs: doc_id, path, licence, score (cosine, 4 places), origin.
+def scan_licences(docs: DataFrame, path: Column, is_licence_file: Column, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = 0.6, salts: int = 32) -> DataFrame:
+    """One row per row of docs: doc_id, path, licence, score (cosine, 4 places; 1 for an SPDX line), origin.
 
-    origin is "header" (a line of the text matches a template by ``least`` or more), a
+    origin is "header" (an SPDX line, or a window matches a template by ``least`` or more), a
     directory (its licence file is the nearest above), or null with licence null. Ties go to
     the licence first in the alphabet. Null and empty texts have no lines; a null path has no
-    ancestors; repeated rows each give a row; an empty table gives no rows."""
-    rows = written(licence_lines(docs, id_col, text_col, path).withColumn("file", is_licence_file), "licence-lines")
-    vocabulary = sorted({t for text in templates.values() for t in _weights(text)})
-    lines = rows.select(F.explode("lines").alias("line"))
-    seen = lines.agg(F.count("*"), *(F.count_if(F.array_contains("line", t)) for t in vocabulary)).first()
-    rare = math.log(1 + seen[0]) + 1
-    idf = {t: math.log((1 + seen[0]) / (1 + n)) + 1 for t, n in zip(vocabulary, seen[1:], strict=True)}
+    ancestors; repeated rows each give a row; an empty table gives no rows; other columns are
+    ignored; a long text is scanned whole, in its row."""
+    rows = written(licence_lines(docs, id_col, text_col, path, longest(templates)).withColumn("file", is_licence_file), "licence-lines")
+    vocabulary = sorted({t for texts in templates.values() for text in texts for t in terms_of(text)})
+    lines = rows.select(F.explode("lines").alias("line")).select(F.array_intersect("line.own", F.array(*map(F.lit, vocabulary))).alias("known"))
+    n = lines.count()
+    seen = {r.t: r.n for r in lines.select(F.explode("known").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # template terms only
+    idf = {t: math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
     weight = F.create_map(*(F.lit(v) for pair in idf.items() for v in pair))
+    other = sum(idf.values()) / len(idf)
+
+    def template(name: str, text: str) -> Column:
+        own = {t: n * idf[t] for t, n in Counter(terms_of(text)).items()}
+        size = math.sqrt(sum(w * w for w in own.values()))
+        given = F.create_map(*(F.lit(x) for t, w in own.items() for x in (t, w / size)))
+        return F.struct(F.lit(name).alias("name"), F.lit(terms_of(text)[0]).alias("first"), F.lit(len(terms_of(text))).alias("n"), given.alias("given"))
+
+    def cosine(window: Column, given: Column) -> Column:
+        dot = F.aggregate(window, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(given, x["t"]), F.lit(0.0)))
+        size = F.aggregate(window, F.lit(0.0), lambda a, x: a + x["w"] * x["w"] * F.size(F.filter(window, lambda y: y["t"] == x["t"])))
+        return dot / F.sqrt(size)
+
+    def best_of(line: Column) -> Column:  # the template of the highest score, then of the first name
+        weighted = F.transform(line["all"], lambda t: F.struct(t.alias("t"), F.coalesce(F.try_element_at(weight, t), F.lit(other)).alias("w")))
+        given = F.array(*(template(name, text) for name, texts in sorted(templates.items()) for text in texts))
+
+        def score(v: Column, t: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(line["own"]) - 1), lambda i: (i == 0) | (F.get(line["own"], i) == t["first"]))
+            return F.array_max(F.transform(starts, lambda i: F.round(cosine(F.slice(v, i + 1, t["n"]), t["given"]), 4)))
+
+        # weighted once for all templates
+        return F.array_min(F.flatten(F.transform(F.array(weighted), lambda v: F.transform(given, lambda t: F.struct((-score(v, t)).alias("s"), t["name"].alias("name"))))))
 
-    def vector(line: Column) -> Column:  # distinct terms with their TF-IDF weights
-        return F.transform(F.array_distinct(line), lambda t: F.struct(t.alias("t"), (F.size(F.filter(line, lambda x: x == t)) * F.coalesce(F.try_element_at(weight, t), F.lit(rare))).alias("w")))
-
-    def cosine(v: Column, text: str) -> Column:
-        own = {t: n * idf[t] for t, n in _weights(text).items()}
-        given = F.create_map(*(F.lit(x) for pair in own.items() for x in pair))
-        dot = F.aggregate(v, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(given, x["t"]), F.lit(0.0)))
-        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-        return dot / (size * math.sqrt(sum(w * w for w in own.values())))
-
-    # the best template of each line, then of the document: highest score, then first name
-    scored = F.transform(
-        F.transform("lines", vector),
-        lambda v: F.array_min(F.array(*(F.struct((-F.round(cosine(v, text), 4)).alias("s"), F.lit(name).alias("name")) for name, text in sorted(templates.items())))),
-    )
-    best = F.array_min(F.filter(scored, lambda s: s["s"] <= -least))
-    own = written(rows.select("doc_id", "path", "dir", "file", best["name"].alias("own"), (-best["s"]).alias("score")), "own-licences")
+    best = F.array_min(F.filter(F.transform("lines", best_of), lambda s: s["s"] <= -least))
+    own = written(rows.select("doc_id", "path", "dir", "file", F.coalesce("spdx", best["name"]).alias("own"), F.when(F.col("spdx").isNotNull(), 1.0).otherwise(-best["s"]).alias("score")), "own-licences")
     files = own.filter(F.col("file") & F.col("own").isNotNull() & F.col("dir").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("own").alias("licence"))).alias("best"))
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import TEMPLATES
+from .license_scan import HINT, SPDX, TEMPLATES, longest
 
 OP1_SQL = r"""
 WITH d AS (
@@ -61,44 +61,52 @@ WITH d AS (
          CASE WHEN v2 > 1e-12 THEN least(greatest(m2 * (1 - m2) / v2 - 1, 1), 10000) ELSE 10000 END AS w2
   FROM prior
 ), r AS (
-  SELECT host, (n0 + m0 * w0) / (n + w0) AS r0, (n1 + m1 * w1) / (n + w1) AS r1, (n2 + m2 * w2) / (n + w2) AS r2 FROM h, s
+  SELECT host, (n0 + m0 * w0) / (n + w0) AS r0, (n1 + m1 * w1) / (n + w1) AS r1, (n2 + m2 * w2) / (n + w2) AS r2, m1, m2 FROM h, s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR greatest(r0, r1, r2) > 0.5 OR (f1 AND r1 > 0.005) OR (f2 AND r2 > 0.005)) AS kept
+       NOT (base_failed OR greatest(r0, r1, r2) > 0.5 OR (f1 AND r1 < greatest(1.25 * m1, 0.05)) OR (f2 AND r2 < greatest(1.25 * m2, 0.05))) AS kept
 FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 """
 
-_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v.lower()}')" for k, v in TEMPLATES.items())
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate((name, text) for name, texts in TEMPLATES.items() for text in texts))
 
 OP4_SQL = r"""
 WITH t AS (
-  SELECT name, regexp_extract_all(text, '[a-z0-9]+(?:\.[0-9]+)*') AS terms FROM (VALUES __TEMPLATES__) AS v(name, text)
+  SELECT tid, name, regexp_extract_all(text, '[a-z0-9]+(?:\.[0-9]+)*') AS terms FROM (VALUES __TEMPLATES__) AS v(tid, name, text)
 ), d AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
          CASE WHEN doc_id % 20 = 0 THEN coalesce(source, '') || '/LICENSE'
               WHEN doc_id % 10 = 0 THEN concat_ws('/', coalesce(source, ''), (doc_id // 10) % 7, 'LICENSE')
               ELSE concat_ws('/', coalesce(source, ''), (doc_id // 10) % 7, (doc_id // 70) % 7, doc_id || '.txt') END AS path
   FROM documents
+), each AS (
+  SELECT row, string_split(text, chr(10)) AS lines, list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(lower(x), '[a-z0-9]+(?:\.[0-9]+)*')) AS terms
+  FROM d WHERE regexp_matches(text, '__HINT__')
 ), l AS (
-  SELECT DISTINCT row, regexp_extract_all(lower(line), '[a-z0-9]+(?:\.[0-9]+)*') AS line
-  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '(?i)licen[sc]|copyright|spdx|public domain')
-), ln AS (SELECT row_number() OVER () AS id, row, line FROM l),
+  SELECT DISTINCT row, own, w FROM (
+    SELECT row, lines[i] AS line, terms[i] AS own, flatten(terms[i : i + __REACH__])[1 : len(terms[i]) + __REACH__] AS w FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM each)
+  ) WHERE regexp_matches(line, '__HINT__')
+), ln AS (SELECT row_number() OVER () AS id, row, own, w FROM l),
 total AS (SELECT count(*) AS n FROM ln),
 vocabulary AS (SELECT DISTINCT unnest(terms) AS term FROM t),
-lt AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(line) AS term FROM ln) GROUP BY id, term),
-df AS (SELECT term, count(lt.id) AS df FROM vocabulary LEFT JOIN lt USING (term) GROUP BY term),
+df AS (SELECT term, count(o.id) AS df FROM vocabulary LEFT JOIN (SELECT DISTINCT id, unnest(own) AS term FROM ln) o USING (term) GROUP BY term),
 idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, total),
-lw AS (SELECT id, term, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM lt LEFT JOIN idf USING (term), total),
-tw AS (SELECT name, term, tf * idf AS w FROM (SELECT name, term, count(*) AS tf FROM (SELECT name, unnest(terms) AS term FROM t) GROUP BY name, term) JOIN idf USING (term)),
+windows AS (
+  SELECT id, tid, s, w[s : s + len(terms) - 1] AS win
+  FROM (SELECT id, tid, own, w, terms, unnest(range(1, len(own) + 1)) AS s FROM ln, t) WHERE s = 1 OR own[s] = terms[1]
+),
+wt AS (SELECT id, tid, s, term, count(*) AS tf FROM (SELECT id, tid, s, unnest(win) AS term FROM windows) GROUP BY ALL),
+lw AS (SELECT id, tid, s, term, tf * coalesce(idf, (SELECT avg(idf) FROM idf)) AS w FROM wt LEFT JOIN idf USING (term)),
+tw AS (SELECT tid, name, term, tf * idf AS w FROM (SELECT tid, name, term, count(*) AS tf FROM (SELECT tid, name, unnest(terms) AS term FROM t) GROUP BY ALL) JOIN idf USING (term)),
 scored AS (
-  SELECT id, name, round(sum(lw.w * tw.w) / (any_value(a.s) * any_value(b.s)), 4) AS score
-  FROM lw JOIN tw USING (term) JOIN (SELECT id, sqrt(sum(w * w)) AS s FROM lw GROUP BY id) a USING (id) JOIN (SELECT name, sqrt(sum(w * w)) AS s FROM tw GROUP BY name) b USING (name)
-  GROUP BY id, name
+  SELECT id, any_value(name) AS name, round(sum(lw.w * tw.w) / (sqrt(any_value(a.q)) * any_value(b.s)), 4) AS score
+  FROM lw JOIN tw USING (tid, term) JOIN (SELECT id, tid, s, sum(w * w) AS q FROM lw GROUP BY ALL) a USING (id, tid, s) JOIN (SELECT tid, sqrt(sum(w * w)) AS s FROM tw GROUP BY tid) b USING (tid)
+  GROUP BY id, tid, lw.s
 ), own AS (
-  SELECT row, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, licence, score
-  FROM d LEFT JOIN (
+  SELECT row, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, coalesce(spdx, c.licence) AS licence, CASE WHEN spdx IS NOT NULL THEN 1.0 ELSE c.score END AS score
+  FROM (SELECT *, nullif(regexp_extract(text, '__SPDX__', 1), '') AS spdx FROM d) LEFT JOIN (
     SELECT row, first(name ORDER BY score DESC, name) AS licence, max(score) AS score FROM scored JOIN ln USING (id) WHERE score >= 0.6 GROUP BY row
-  ) USING (row)
+  ) c USING (row)
 ), files AS (
   SELECT dir, first(licence ORDER BY score DESC, licence) AS licence, max(score) AS score FROM own WHERE path LIKE '%/LICENSE' AND licence IS NOT NULL GROUP BY dir
 ), near AS (
@@ -108,7 +116,7 @@ scored AS (
 SELECT doc_id, path, coalesce(own.licence, near.licence) AS licence, coalesce(own.score, near.score) AS score,
        CASE WHEN own.licence IS NOT NULL THEN 'header' ELSE folder END AS origin
 FROM own LEFT JOIN near USING (row)
-""".replace("__TEMPLATES__", _TEMPLATE_ROWS)
+""".replace("__TEMPLATES__", _TEMPLATE_ROWS).replace("__HINT__", HINT).replace("__SPDX__", SPDX).replace("__REACH__", str(longest(TEMPLATES)))
 
 OP5_SQL = r"""
 WITH p AS (
@@ -123,9 +131,14 @@ WITH p AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM p
+), listed AS (
+  SELECT host FROM (
+    SELECT p.host, sum(len(regexp_extract_all(html, '<a href='))) AS links, sum(len(regexp_extract_all(html, '<p[ >]'))) AS paragraphs
+    FROM p JOIN pages USING (page_id) GROUP BY p.host
+  ) WHERE links > paragraphs OR regexp_matches(host, 'ads-track|adult|casino|cheap-pills|free-bets|spam')
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, 'ads-track|adult|casino|cheap-pills|free-bets|spam') THEN 'block' ELSE 'allow' END AS verdict
+  WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """

@@ -57,11 +57,13 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 @dataclass(frozen=True)
 class HostLimits:
     """A host whose shrunk failure rate of any rule is over ``reject`` loses all its documents.
-    Where a soft rule's rate is at most ``trust``, failing it is that host's habit and costs
-    nothing; elsewhere documents that fail it go."""
+    Where a soft rule's shrunk rate is ``habit`` times the mean of all hosts or more, and
+    ``least_habit`` at least, failing it is that host's habit (a site about code is full of symbols) and costs nothing; elsewhere
+    documents that fail it go."""
 
     reject: float = 0.5
-    trust: float = 0.005
+    habit: float = 1.25
+    least_habit: float = 0.05
     symbols_per_word: float = 0.25
     dup_line_share: float = 0.5
 
@@ -82,24 +84,25 @@ def judge(counts: DataFrame, limits: HostLimits = HostLimits(), salts: int = 32)
     hosts = written(rows.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(f"f_{r}").alias(f"n_{r}") for r in RULES)), "hosts")
     rate = lambda r: F.col(f"n_{r}") / F.col("n")
     prior = hosts.agg(*(f(rate(r)) for r in RULES for f in (F.avg, F.var_pop))).first()
-    shrunk = []
+    shrunk, means = [], {}
     for i, r in enumerate(RULES):
         mean, var = prior[2 * i] or 0.0, prior[2 * i + 1] or 0.0
+        means[r] = mean
         weight = min(max(mean * (1 - mean) / var - 1, 1.0), 10_000.0) if var > 1e-12 else 10_000.0
         shrunk.append(((F.col(f"n_{r}") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))).alias(f"rate_{r}"))
     verdict = hosts.select("host", *shrunk).select(
-        "host", (F.greatest(*(f"rate_{r}" for r in RULES)) > limits.reject).alias("rejected"), *((F.col(f"rate_{r}") <= limits.trust).alias(f"trust_{r}") for r in RULES[1:])
+        "host", (F.greatest(*(f"rate_{r}" for r in RULES)) > limits.reject).alias("rejected"), *((F.col(f"rate_{r}") >= max(limits.habit * means[r], limits.least_habit)).alias(f"habit_{r}") for r in RULES[1:])
     )
-    verdict = verdict.select(F.col("host").alias("of"), "rejected", *(f"trust_{r}" for r in RULES[1:]), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
+    verdict = verdict.select(F.col("host").alias("of"), "rejected", *(f"habit_{r}" for r in RULES[1:]), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     joined = rows.join(verdict, F.col("host").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("s")), "left")
-    soft = [F.col(f"f_{r}") & ~F.col(f"trust_{r}") for r in RULES[1:]]
+    soft = [F.col(f"f_{r}") & ~F.col(f"habit_{r}") for r in RULES[1:]]
     kept = ~(F.col("f_base") | F.coalesce(F.col("rejected"), F.lit(False)) | F.coalesce(soft[0] | soft[1], F.lit(False)))
     return joined.select(*counts.columns, F.col("f_base").alias("base_failed"), kept.alias("kept"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: HostLimits = HostLimits()) -> DataFrame:
     """One row per row of docs with its counts, base_failed and kept. Null and empty texts have no
-    words and fail the base rule; repeated rows each count; an empty table gives no rows; other
-    columns are ignored."""
+    words and fail the base rule; a null host is a host of its own; repeated rows each count; an
+    empty table gives no rows; other columns are ignored. A long text is judged whole, in its row."""
     return judge(written(rule_counts(docs, id_col, text_col, host_col), "rule-counts"), limits)

@@ -18,7 +18,7 @@ from .secret_scan import fit_secrets, secret_spans
 from .sentencepiece_wfst import load_transducer, round_trip
 from .simhash import simhash_components
 from .token_output import shared_shards, token_index
-from .url_filter import Rule, filter_urls
+from .url_filter import Rule, filter_urls, link_heavy
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +65,13 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The rules that the query asks for.
 URL_RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
-#: Words of host names by which the block list is drawn up from the hosts of the corpus.
+#: Words of host names that put a host on the block list, beside the hosts that hold more links than paragraphs.
 BLOCKED_WORDS = ("ads-track", "adult", "casino", "cheap-pills", "free-bets", "spam")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), F.col("key").rlike("|".join(BLOCKED_WORDS)), URL_RULES)
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, link_heavy(pages, BLOCKED_WORDS), URL_RULES)
 
 
 def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

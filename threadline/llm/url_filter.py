@@ -58,6 +58,15 @@ def apply_rules(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Colu
     return text, verdict
 
 
+def link_heavy(pages: DataFrame, words: Sequence[str] = (), url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(key): the hosts whose pages together hold more links than paragraphs, and those with one of
+    some words in their name. Null pages count as empty."""
+    of = lambda pattern: F.sum(F.coalesce(F.regexp_count(html_col, F.lit(pattern)), F.lit(0)))
+    hosts = pages.groupBy(host_of(F.col(url_col)).alias("key")).agg(of("<a href=").alias("links"), of("<p[ >]").alias("paragraphs"))
+    named = F.col("key").rlike("|".join(words)) if words else F.lit(False)
+    return hosts.filter((F.col("links") > F.col("paragraphs")) | named).select("key")
+
+
 @dataclass
 class BloomLevel:
     bits: DataFrame  # one row: words, an array of longs
@@ -112,15 +121,16 @@ def build_cascade(universe: DataFrame, later_error: float = 0.1) -> Cascade:
     return Cascade(levels)
 
 
-def filter_urls(pages: DataFrame, listed: Column, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", max_filter_bytes: int = 64 << 20) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", max_filter_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict.
 
-    ``listed`` says of a column ``key`` (a host) whether the block list has it. The longest rule decides; else
-    listed hosts are blocked and others allowed. The list is looked up by cascade as long as
+    ``listed(key)`` is the block list of hosts; what it repeats, nulls, and hosts without a page make
+    no difference. The longest rule decides; else listed hosts are blocked and others allowed. The list is looked up by cascade as long as
     its first level takes ``max_filter_bytes`` at most, beyond that by a salted join. Null urls
     have empty host and path; repeated rows each give a row; an empty table gives no rows."""
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    universe = written(rows.select(F.col("host").alias("key")).distinct().withColumn("listed", listed), "hosts")
+    marks = listed.select("key").distinct().withColumn("listed", F.lit(True))
+    universe = written(rows.select(F.col("host").alias("key")).distinct().join(marks, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False))), "hosts")
     n_in, n_all = universe.agg(F.count_if("listed"), F.count("*")).first()
     text, verdict = apply_rules(rules, F.col("host"), F.col("path"))
     if n_in * math.log2(2 + 1.5 * n_all / max(n_in, 1)) * 1.45 / 8 <= max_filter_bytes:
