@@ -8,11 +8,5 @@ def test_query_against_sql(name, matches_sql):
     assert matches_sql(QUERIES[name], ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["op9_secret_scans"])
-def test_digest_queries(spark, sf_dir, name):
-    rows = QUERIES[name](spark, sf_dir)
-    assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-
-
 def test_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

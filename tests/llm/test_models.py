@@ -1,9 +1,14 @@
 import hashlib
+import random
 import re
+import string
+import time
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadline.llm import pii as P
@@ -32,6 +37,33 @@ def test_held_out_labels_are_never_read(spark, sf_dir):
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
+def test_weights_against_plain_ridge(spark, sf_dir):
+    """The partition sums give the weights of one ridge regression over all rows of folds 1 to 3."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    every = np.array([C.statistics(t) for t in texts.values()])
+    model = C.fit_quality(C.document_statistics(docs), labels)
+    assert model.kernel.mean == pytest.approx(every.mean(axis=0)) and model.kernel.dev == pytest.approx(np.where(every.std(axis=0) > 1e-9, every.std(axis=0), 1))
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 for r in labels.collect()}
+    rows = [(C.statistics(texts[r.doc_id]), float(r.quality)) for r in labels.collect() if 0 < fold[r.doc_id] < 4]
+    phi, y = model.kernel.phi(np.array([x for x, _ in rows])), np.array([y for _, y in rows])
+    size = phi.shape[1]
+    plain = np.linalg.solve(phi.T @ phi + (1e-3 * len(y) / size + 1e-9) * np.eye(size), phi.T @ y)
+    assert model.kernel.phi(every) @ model.weights == pytest.approx(model.kernel.phi(every) @ plain, abs=1e-6)
+    at, value = C.isotonic(*(np.array(v, float) for v in zip(*[(np.round(s * 2048) / 2048, q, 1.0) for s, q in [(float(model.kernel.phi(np.array([C.statistics(texts[r.doc_id])]))[0] @ plain), r.quality) for r in labels.collect() if fold[r.doc_id] == 4]], strict=True)))
+    assert model.value == pytest.approx(value, abs=1e-9) and model.at == pytest.approx(at, abs=1e-6)
+    got = {r.doc_id: r.score for r in C.classify_quality(docs, labels).collect()}
+    want = np.clip(np.interp(model.kernel.phi(every) @ plain, at, value), 0, 1)
+    assert [got[i] for i in texts] == pytest.approx(want.tolist(), abs=1e-4)
+
+
+def test_repeated_ids_in_the_fit(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 7 + 1)) for i in range(60)] + [(3, "other text"), (3, "third, quite another!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    a, b = (C.fit_quality(C.document_statistics(d), labels).weights for d in (docs, docs.repartition(5).sort("text")))
+    assert a == pytest.approx(b, abs=1e-6)
+
+
 def test_isotonic():
     at, value = C.isotonic(np.array([3.0, 1, 2, 4]), np.array([0.2, 0.1, 0.6, 0.9]), np.ones(4))
     assert at.tolist() == [1, 2.5, 4] and value.tolist() == pytest.approx([0.1, 0.4, 0.9])
@@ -132,6 +164,70 @@ def test_candidates_grow_with_the_text():
     assert len(list(P.candidates(numbers * 10))) <= 11 * len(list(P.candidates(numbers)))
 
 
+#: Runs of a million characters without a cut.
+RUNS = {"letters": "a" * 1_000_000 + " jo@ex.com", "digits": "1" * 1_000_000, "spaces": " " * 1_000_000 + "x", "base64": "aB3/" * 250_000, "signs": "+1 (" * 250_000, "at": "a@" * 300_000}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_long_runs_stay_linear(name):
+    text, began = RUNS[name], time.monotonic()
+    P.base_spans(text), list(P.candidates(text)), S.base_spans(text), S.candidates(text), S.labelled(text, 1)
+    S.SecretModel(S.CharCnn(), 0.9).added([text], [[]])
+    P.PiiModel(P.BoostedTrees(), dict.fromkeys(P.KINDS, 2.0)).spans(text)
+    assert time.monotonic() - began < 60  # quadratic, it would take hours
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1.@-%+ é,", max_size=40))
+def test_addresses_as_the_pattern_finds_them(text):
+    assert [s for s in P.base_spans(text) if s[2] == "email"] == [s for s in plain_pii(text) if s[2] == "email"]
+    assert [s for s in P.base_spans(text) if s[2] == "ip"] == [s for s in plain_pii(text) if s[2] == "ip"]
+
+
+WORDS = "the value of this is given in our notes and every house has one more line than before while people wait".split()
+
+
+def planted(seed, form, n=60):
+    r = random.Random(seed)
+    return [" ".join([*r.sample(WORDS, 6), form(r), *r.sample(WORDS, 6)]) for _ in range(n)]
+
+
+def drawn(alphabet, n):
+    return lambda r: "".join(r.choice(alphabet) for _ in range(n))
+
+
+BASE = string.ascii_letters + string.digits
+PRIVATE = {
+    "at": lambda r: f"{r.choice(WORDS)}.{r.choice(WORDS)} (at) example.com", "dot": lambda r: f"{r.choice(WORDS)}[at]example[dot]org", "us": lambda r: f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}",
+    "dashes": lambda r: f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}", "slashes": lambda r: f"+{r.randint(10, 99)}/{r.randint(100, 999)}/{r.randint(1000000, 9999999)}",
+}
+KEYS = {"capitals": drawn("0123456789ABCDEF", 40), "both": drawn("0123456789abcdefABCDEF", 32), "long": drawn(BASE, 120)}
+PLAIN = {"year": lambda r: str(r.randint(1900, 2030)), "version": lambda r: f"{r.randint(1, 9)}.{r.randint(1, 20)}.{r.randint(1, 20)}", "path": lambda r: "/".join(r.sample(WORDS, 4)), "dashes": lambda r: "-".join(r.sample(WORDS, 5)), "names": lambda r: "".join(w.capitalize() for w in r.sample(WORDS, 4))}
+
+
+def test_added_spans_on_planted_forms(spark):
+    """Recall of what the models add, on forms that no rule knows, and what they leave alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    private, keys = P.fit_pii(docs), S.fit_secrets(docs)
+    secrets = lambda texts: keys.added(texts, [S.base_spans(t) for t in texts])
+    for seed, (name, form) in enumerate(PRIVATE.items()):
+        assert sum(bool(private.spans(t)[1]) for t in planted(seed, form)) >= 0.9 * 60, name
+    for seed, (name, form) in enumerate(KEYS.items()):
+        assert sum(map(bool, secrets(planted(seed, form)))) >= 0.9 * 60, name
+    for seed, (name, form) in enumerate(PLAIN.items()):
+        texts = planted(seed, form)
+        assert sum(map(bool, secrets(texts))) + sum(bool(private.spans(t)[1]) for t in texts) <= 2, name
+    run = "x" * 20 + drawn(BASE, 60)(random.Random(2))  # one candidate, although its digits come late
+    assert S.candidates(f"a {run} b") == [(2, 82)]
+
+
+def test_windows_show_every_character():
+    text = "left side " + "".join(chr(48 + i % 75) for i in range(200)) + " right side"
+    seen = S.windows(text, 10, 210)[:, S.SIDE : S.SIDE + S.INNER]
+    starts = [text.index(bytes(w).decode()) for w in seen.tolist()]
+    assert {i for s in starts for i in range(s, s + S.INNER)} >= set(range(10, 210))
+
+
 # ---- secrets
 
 
@@ -152,6 +248,24 @@ def test_secret_rules(spark, sf_dir):
         assert S.base_spans(r.text) == plain_secrets(r.text)
 
 
+def test_secret_query_keeps_the_base(spark):
+    from threadline.llm.queries import op9_secret_scans
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op9_secret_scans(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        found = plain_secrets(texts[r.doc_id])
+        base = [f"{k}:{a}:{b}" for a, b, k in found]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for *_, k in found) for kind in S.KINDS)
+        every = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(found) <= set(every) and every == sorted(every, key=lambda s: (s[0], S.KINDS.index(s[2])))
+        added = [s for s in every if s not in found]
+        assert all((a, b) in S.candidates(texts[r.doc_id]) and not any(a < d and c < b for c, d, _ in found) for a, b, _ in added)
+
+
 def test_network_learns():
     net = S.CharCnn(embed=3, width=3, filters=4)
     x = np.stack([S.encode("key = 0123456789abcdef0123 end", 6, 26), S.encode("some ordinary words stand here", 5, 13)])

@@ -50,11 +50,11 @@ def in_held_out(id_col: str = "doc_id") -> F.Column:
 
 @dataclass
 class Kernel:
-    """phi(x): cosines of random projections of the standardised statistics, those themselves, 1."""
+    """phi(x): cosines of random projections of the standardised statistics, and 1."""
 
     mean: np.ndarray
     dev: np.ndarray
-    n_features: int = 192
+    n_features: int = 240
     seed: int = 11
 
     def phi(self, x: np.ndarray) -> np.ndarray:
@@ -63,7 +63,7 @@ class Kernel:
         w = rng.normal(0, 1 / np.sqrt(d), (d, self.n_features))
         shift = rng.uniform(0, 2 * np.pi, self.n_features)
         z = np.clip((x - self.mean) / self.dev, -8, 8)
-        return np.hstack([np.sqrt(2 / self.n_features) * np.cos(z @ w + shift), z / np.sqrt(d), np.ones((len(z), 1))])
+        return np.hstack([np.sqrt(2 / self.n_features) * np.cos(z @ w + shift), np.ones((len(z), 1))])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,8 @@ def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     """Ridge weights from the rows of folds 1 to 3, calibration from those of fold 4; fold 0 is
     held out. A fold is crc32 of the id as text, modulo 5.
 
-    Labels that are null or of unknown ids are skipped; where an id repeats, the mean decides.
+    Labels that are null or of unknown ids are skipped; where an id repeats in them, the mean
+    decides, and where it has several texts, the one with the least statistics stands for it.
     Without any label every score is 0.5; with one class only, that class."""
     d = len(STATISTICS)
     moment = stats.select(*(F.col("x")[i].alias(f"x{i}") for i in range(d))).agg(*(f(f"x{i}") for i in range(d) for f in (F.avg, F.stddev_pop))).first()
@@ -107,8 +108,9 @@ def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     n = marked.count()
     if n > max_labels:
         marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labels / n))
-    rows = written(stats.dropDuplicates(["doc_id"]).join(marked, "doc_id").select("fold", "x", "y"), "training")
-    size = d + kernel.n_features + 1
+    known_rows = stats.join(marked, "doc_id").groupBy("doc_id", "fold", "y").agg(F.min("x").alias("x"))
+    rows = written(known_rows.select("fold", "x", "y"), "training")
+    size = kernel.n_features + 1
 
     def sums(batches):
         gram, moment = np.zeros((size, size)), np.zeros(size)
@@ -152,7 +154,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model accepts, in one narrow pass with all their columns."""
+    """The rows of docs that the model accepts, in one narrow pass with all their columns, whatever
+    their names. Null and empty texts are judged as empty ones; repeated rows all stay or all go;
+    long texts are read whole; an empty table gives no rows."""
 
     def run(batches):
         for b in batches:
