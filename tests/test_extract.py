@@ -94,6 +94,20 @@ def test_nested_threads(spark):
     assert "in" in texts() and "next" in texts()
 
 
+def test_content_after_an_inner_thread(spark):
+    button = '<ytd-button-renderer id="more-replies"><button>View {} replies</button></ytd-button-renderer>'
+    inner = thread('<div id="comment"><i id="content-text">in</i></div>')
+    html = thread('<div id="comment"><i id="content-text">out</i></div>' + inner + button.format(7)) + thread('<div id="comment"><i id="content-text">next</i></div>' + button.format(2))
+    rows = E.parse_threads(E.find_threads(page(spark, html))).orderBy("thread_ord").collect()
+    assert [(r.text, r.replyCount) for r in rows] == [("out", 7), ("in", 0), ("next", 2)]
+
+
+def test_nested_threads_of_a_wrapper(spark):
+    inner = thread('<div id="comment"><i id="content-text">a</i></div>' + thread('<div id="comment"><i id="content-text">b</i></div>'))
+    count = lambda html: E.find_threads(page(spark, html), outermost=True).count()
+    assert [count(h) for h in (inner, f"<section>{inner}</section>", f"<section>{inner}</section>{inner}", "<br>" + inner + inner)] == [1, 2, 3, 2]
+
+
 def test_titles(spark):
     first = '<ytd-watch-metadata><h1 class="x ytd-watch-metadata"><yt-formatted-string> A </yt-formatted-string></h1></ytd-watch-metadata>'
     pages = page(spark, f"<title>T</title>{first}", "<title> T </title><div id='title'><h1>C</h1></div>", "<title>T</title>", "<p>x", '<title>T</title><h1 class="ytd-watch-metadata"></h1>', None)

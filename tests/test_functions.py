@@ -64,3 +64,15 @@ def test_page_families(spark):
     urls = ["https://www.youtube.com/watch?v=1", "http://m.youtube.com/watch?v=1", "https://www.instagram.com/reel/1", "x/instagram.com/p/1", "https://example.com/", None]
     assert applied(spark, urls, U.page_family) == ["watch", None, "post", None, None, None]
     assert applied(spark, urls, lambda c: U.page_family(c, strict=False)) == ["watch", "watch", "post", "post", None, None]
+
+
+def test_long_runs_of_white_space(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    from threadline.functions import text as X
+
+    rows = spark.createDataFrame([("a" + " \t" * 500_000 + "b",)], "x string")
+    began = time.monotonic()
+    assert tuple(rows.select(F.length(X.js_trim(F.col("x"))), X.normalize_ws(F.col("x"))).first()) == (1_000_002, "a b")
+    assert time.monotonic() - began < 30

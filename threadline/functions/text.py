@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as browsers' regular expressions see it.
 WS = r"[\s\x{0b}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+WS_CHARS = " \t\n\x0b\x0c\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: The names of things without one, and what a file name can't hold.
 DEFAULT_FILE, DEFAULT_TITLE = "youtube-comments", "youtube-video"
 UNSAFE = r'[<>:"/\\|?*\x00-\x1f]'
@@ -15,12 +16,12 @@ DIVIDER = "-" * 40
 
 
 def js_trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(WS_CHARS))
 
 
 def normalize_ws(x: Column) -> Column:
     """Runs of white space become one space; trimmed."""
-    return js_trim(F.regexp_replace(x, f"{WS}+", " "))
+    return F.btrim(F.regexp_replace(F.translate(x, WS_CHARS, " " * len(WS_CHARS)), "  +", " "))
 
 
 def strip_commas(x: Column) -> Column:

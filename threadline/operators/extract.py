@@ -54,22 +54,28 @@ def outer_html(els: str, outer: Column, n: int) -> Column:
 def find_threads(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html", outermost: bool = False) -> DataFrame:
     """(keys, thread_ord, thread, els): every thread with its elements and texts, in document order.
 
-    One shuffle by page: windows carry the latest thread to what follows, and the elements of a
-    thread are gathered where they are. A thread inside another is a row of its own, and its
-    content counts for it alone; with ``outermost``, as for fragments that arrive, it is only
-    content of the one around it."""
+    One shuffle by page: windows carry the latest outermost thread to what follows, and its
+    elements are gathered where they are. A thread inside another is a row of its own too, with
+    its part of those elements; the outer one has them all. With ``outermost``, as for
+    fragments that arrive, a thread that is the root of what arrived stands for all inside it,
+    while those inside any other element each count, however they are nested."""
     page = Window.partitionBy(*keys).orderBy("ord")
     rows = nodes(pages, keys, html)
-    is_thread = (F.col("tag") == THREAD) & (F.col("kind") == "open")
-    if outermost:
-        before = F.max(F.when(is_thread, F.col("end"))).over(page.rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("around", before)
-        is_thread = is_thread & (F.col("around").isNull() | (F.col("around") < F.col("ord")))
-    opened = F.when(is_thread, F.struct("ord", "end", "kind", "tag", "raw", "attrs", "text"))
-    rows = rows.withColumn("thread", F.last(opened, ignorenulls=True).over(page))
-    rows = rows.filter(F.col("ord").between(F.col("thread.ord"), F.col("thread.end")))
+    is_open = F.col("kind") == "open"
+    is_thread = (F.col("tag") == THREAD) & is_open
+    until = lambda cond: F.max(F.when(cond, F.col("end"))).over(page.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"around": until(is_thread), "holder": until(is_open)})
+    top = is_thread & (F.col("around").isNull() | (F.col("around") < F.col("ord")))
+    opened = F.when(top, F.struct("ord", "end", (F.col("holder") > F.col("ord")).alias("wrapped")))
+    rows = rows.withColumn("top", F.last(opened, ignorenulls=True).over(page)).filter(F.col("ord").between(F.col("top.ord"), F.col("top.end")))
     els = F.sort_array(F.collect_list(F.struct("ord", "end", "kind", "tag", "raw", "attrs", "text")))
-    return rows.groupBy(*keys, F.col("thread.ord").alias("thread_ord")).agg(F.any_value("thread").alias("thread"), els.alias("els"))
+    found = rows.groupBy(*keys, "top").agg(els.alias("all"))
+    threads = F.filter("all", lambda e: (e["tag"] == THREAD) & (e["kind"] == "open"))
+    if outermost:
+        threads = F.when(F.coalesce(F.col("top.wrapped"), F.lit(False)), threads).otherwise(F.slice(threads, 1, 1))
+    found = found.select(*keys, "all", threads.alias("threads")).select(*keys, "all", F.size("threads").alias("n"), F.explode("threads").alias("thread"))
+    own = F.filter("all", lambda e: e["ord"].between(F.col("thread.ord"), F.col("thread.end")))
+    return found.select(*keys, F.col("thread.ord").alias("thread_ord"), "thread", F.when(F.col("n") == 1, F.col("all")).otherwise(own).alias("els"))
 
 
 def with_layout(threads: DataFrame) -> DataFrame:

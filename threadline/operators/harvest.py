@@ -33,9 +33,9 @@ def with_is_new(comments: DataFrame, keys: Sequence[str] = ("run_id", "_key")) -
 
 
 def reconcile(live: DataFrame, full: DataFrame) -> DataFrame:
-    """live and, after it, the rows of a full scan whose keys it lacks."""
-    late = with_arrival(dedup_first_wins(with_arrival(full, 1)), 1)
-    return live.unionByName(late.join(live.select("run_id", "_key"), ["run_id", "_key"], "left_anti").select(*live.columns))
+    """The first rows of the live keys and, after them, the rows of a full scan whose keys are new: one
+    ranking over both, as live rows arrive before those of the scan. live may hold repeats."""
+    return dedup_first_wins(live.unionByName(with_arrival(full, 1).select(*live.columns)))
 
 
 def limit_n(comments: DataFrame, limit: int, order: str = "arrival") -> DataFrame:

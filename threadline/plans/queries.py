@@ -20,6 +20,7 @@ from ..operators import runs as S
 from ..operators.shred import nodes, tokens
 from ..sources import snapshots as SRC
 from ..streaming import harvest as ST
+from ..streaming import timers as TM
 from . import fixtures as fx
 from .fixtures import table
 
@@ -112,7 +113,7 @@ def live_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.reconcile(live_scan(spark, sf_dir), full_scan(spark, sf_dir))
+    return H.reconcile(ST.parse_batch(fx.live_snapshots(spark, sf_dir)), full_scan(spark, sf_dir))
 
 
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share; spark.checkpoint.dir names where."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").partition("-")[0].startswith("local") or "cluster" in spark.conf.get("spark.master", "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -193,6 +198,16 @@ def sink_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.join(order, ["run_id", "thread_ord"]).select("run_id", "pos", "code", F.left("snippet", F.lit(200)).alias("snippet"))
 
 
+@query("written_exports", _with(_TURNS, f"SELECT {_NAME} || 'json' AS name, count(*) AS comments, sum(likes)::BIGINT AS likes FROM export GROUP BY page_id"))
+def written_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export files as written, read back and parsed."""
+    limit, form = SRC.valid_request(LIMIT, "json")
+    path = scratch(spark, "exports")
+    SRC.write_exports(R.exports(H.limit_n(store(spark, sf_dir), limit), titles(spark, sf_dir), form), path)
+    rows = spark.read.text(path, wholetext=True).select("name", F.explode(F.from_json("value", "array<struct<text:string,likes:bigint,replyCount:bigint>>")).alias("c"))
+    return rows.groupBy("name").agg(F.count("*").alias("comments"), F.sum("c.likes").alias("likes"))
+
+
 # ---- routing, threads
 
 
@@ -232,6 +247,31 @@ def find_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(threads(spark, sf_dir)).select("run_id", "page_id", "pos")
 
 
+_NEST = "SELECT page_id, (page_id % 5 + 1)::BIGINT AS depth, page_id % 2 = 0 AS wrapped FROM pages"
+
+
+def _nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fragment for each page: page_id % 5 + 1 threads, each inside the one before, with a reply
+    button after the inner one; in an element of their own for even ids."""
+    depth = (F.col("page_id") % 5 + 1).cast("int")
+    levels = F.sequence(F.lit(1), depth)
+    opened = F.transform(levels, lambda i: F.concat(F.lit('<ytd-comment-thread-renderer data-comment-id="k'), i, F.lit('"><div id="comment"><i id="content-text">t'), i, F.lit("</i></div>")))
+    closed = F.transform(F.reverse(levels), lambda i: F.concat(F.lit('<ytd-button-renderer id="more-replies"><button>View '), i, F.lit(" replies</button></ytd-button-renderer></ytd-comment-thread-renderer>")))
+    body = F.concat(F.array_join(opened, ""), F.array_join(closed, ""))
+    return pages(spark, sf_dir).select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<section>"), body, F.lit("</section>"))).otherwise(body).alias("html"))
+
+
+@query("nested_threads", f"SELECT page_id, 't' || i AS text, depth AS replyCount FROM (SELECT *, unnest(range(1, depth + 1)) AS i FROM ({_NEST}))")
+def nested_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thread's first button is the innermost one's, as all inside it counts for it."""
+    return E.parse_threads(E.find_threads(_nested_pages(spark, sf_dir))).select("page_id", "text", "replyCount")
+
+
+@query("nested_fragments", f"SELECT page_id, CASE WHEN wrapped THEN depth ELSE 1 END AS threads FROM ({_NEST})")
+def nested_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.find_threads(_nested_pages(spark, sf_dir), outermost=True).groupBy("page_id").agg(F.count("*").alias("threads"))
+
+
 @query("filter_hydrated", _with(_TURNS, "SELECT run_id, pos, layout FROM h"))
 def filter_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.with_layout(placed(threads(spark, sf_dir))).filter("layout <> 'unhydrated'").select("run_id", "pos", "layout")
@@ -501,6 +541,39 @@ def stream_stall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", F.unix_micros("began").alias("began"), F.unix_micros("last_until").alias("last_until"), "grown")
 
 
+def _timed(spark: SparkSession, rows: DataFrame, timed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream with timers tells of rows(run_id, ts, ...). After them comes a row of a run without
+    name, a year on, and another a day later, so that the watermark passes every timer."""
+    base = scratch(spark, "stream")
+    rows = kept(rows, "timed")
+    rest = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("run_id", "ts")]
+    ends = [rows.agg((F.max("ts") + F.expr(f"interval {366 + k} days")).alias("ts")).select(F.lit("").alias("run_id"), "ts", *rest).select(rows.columns) for k in range(2)]
+    for part in (rows, *ends):
+        part.write.mode("append").parquet(f"{base}/in")
+        told = timed(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        ST.collect_stream(told, f"{base}/out", f"{base}/checkpoint", "append").awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{base}/out").filter("run_id <> ''").drop("batch")
+
+
+_SIX_HOURS = 21_600_000
+
+
+@query("stream_throttle_exact", f"""WITH RECURSIVE {_EVENTS.strip()},
+m AS (SELECT run_id, seq, epoch_us(ts) // 1000 AS ms FROM e),
+armed AS (SELECT run_id, min(ms) AS at FROM m GROUP BY run_id UNION ALL SELECT a.run_id, min(m.ms) FROM armed a JOIN m ON m.run_id = a.run_id AND m.ms >= a.at + {_SIX_HOURS} GROUP BY a.run_id, a.at)
+SELECT a.run_id, a.at + {_SIX_HOURS} AS at_ms, max(m.seq) AS n FROM armed a JOIN m ON m.run_id = a.run_id AND m.ms < a.at + {_SIX_HOURS} GROUP BY a.run_id, a.at""")
+def stream_throttle_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = fx.samples(spark, sf_dir).select("run_id", "ts", "seq", "n")
+    return _timed(spark, samples, lambda s: TM.throttle_exact(s, _SIX_HOURS))
+
+
+@query("stream_stall_exact", _with(_EVENTS + f""", c AS (SELECT run_id, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY run_id ORDER BY ts) AS later FROM e WHERE event_type = 'click')""", f"""
+SELECT run_id, ms + {5 * _SIX_HOURS} AS stalled_at_ms FROM c WHERE later IS NULL OR later - ms >= {5 * _SIX_HOURS}"""))
+def stream_stall_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = fx.ordered_events(spark, sf_dir).filter("event_type = 'click'").select("run_id", "ts")
+    return _timed(spark, clicks, lambda s: TM.stall_exact(s, _SIX_HOURS))
+
+
 # ---- scalar functions
 
 
@@ -571,6 +644,11 @@ def _post_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(nodes(fx.post_snapshots(spark, sf_dir).filter(U.page_family(F.col("url")) == "post")), "nodes")
 
 
+@query("page_profile", _with(_POSTS, "SELECT page_id, n AS time_count, 'div' AS block_tag, CASE WHEN n >= 3 THEN 'div' END AS container_tag, links AS profile_links, 'button' AS load_more FROM pg WHERE n > 1"))
+def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.page_profile(_post_nodes(spark, sf_dir)).filter("time_count > 1").select("page_id", "time_count", "block_tag", "container_tag", "profile_links", "load_more")
+
+
 @query("ig_time_count", _with(_POSTS, "SELECT page_id, n AS time_count FROM pg"))
 def ig_time_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.time_count(_post_nodes(spark, sf_dir))

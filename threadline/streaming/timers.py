@@ -58,7 +58,7 @@ def stall_exact(growth: DataFrame, gap_ms: int = STALL_MS, most: int = MAX_STALL
         last, stalls = state.get if state.exists else (-1, 0)
         ended: list[int] = []
         if state.hasTimedOut:
-            stalls += 1
+            stalls = min(most, max(stalls + 1, (state.getCurrentWatermarkMs() - last) // gap_ms))
         else:
             for at in sorted(_millis(pd.concat(list(frames))["ts"])):
                 if last >= 0 and at - last >= most * gap_ms:
