@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,7 +63,7 @@ def test_looked_up_units_are_exact(tokenizer_json):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_str(tokenizer_json)
-    encoder = T.CachedEncoder(tokenizer_json, max_units=10)
+    encoder = T.CachedEncoder(tokenizer_json, max_bytes=6000)
     for _ in range(2):
         ids, sizes = encoder.encode(pa.array([*UNITS, None]), T._u4(np.array([2])))
         for text, got in zip([*UNITS, ""], np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
@@ -74,7 +75,7 @@ def plain_index(docs, tokenizer_json):
 
     plain = Tokenizer.from_str(tokenizer_json)
     out, start = [], 0
-    for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
+    for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, np.uint64(xxhash.xxh64_intdigest(r.text or "", 42)).astype(np.int64))):
         ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 2]
         out.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -85,6 +86,9 @@ def test_index(spark, sf_dir, awkward, nothing, tokenizer_json, tmp_path):
     for docs in (awkward, spark.read.parquet(f"{sf_dir}/documents.parquet")):
         got = T.token_index(T.shared_shards(docs, tokenizer_json, shard_tokens=5_000)).collect()
         assert sorted(map(tuple, got), key=lambda r: r[1]) == plain_index(docs, tokenizer_json)
+    many = spark.createDataFrame([(None if i % 3 else 7, f"text {i}") for i in range(300)], "doc_id long, text string")
+    got = T.token_index(T.shared_shards(many, tokenizer_json, shard_tokens=50)).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == plain_index(many, tokenizer_json)
     assert T.token_index(T.shared_shards(nothing, tokenizer_json)).count() == 0
     written = T.write_tokens(awkward, str(tmp_path / "ids"), tokenizer_json, end_id=None)
     assert written.count() >= 1

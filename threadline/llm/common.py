@@ -66,13 +66,15 @@ def slices(batch: pa.RecordBatch, texts: int, most: int) -> Iterator[pa.RecordBa
         at = end
 
 
-def by_batch(make: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Callable:
-    """A mapInArrow function that turns each batch into the columns that make() returns."""
+def by_batch(make: Callable[[pa.RecordBatch], dict], schema: pa.Schema, most: int = 8 << 20) -> Callable:
+    """A mapInArrow function that turns runs of rows of each batch, of about ``most`` bytes, into the
+    columns that make() returns; so a worker never holds more than one batch and the work on a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = make(batch)
+            step = max(1, batch.num_rows * most // max(batch.nbytes, most))
+            for at in range(0, batch.num_rows, step):
+                columns = make(batch.slice(at, step))
                 yield pa.RecordBatch.from_arrays(
                     [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema
                 )

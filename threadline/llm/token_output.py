@@ -30,7 +30,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +38,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Recent, built_once, slices, written
 
 #: White space in all its forms, and a space that no unit may be cut at.
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = f"{_WS} {_WS}|{_WS} $| $|\x00"
 #: Marks a unit that has no space before it.
 _JOINED = "\x00"
+#: A space in the vocabulary of byte-level models.
+_SPACE = "\u0120"
 _LETTER = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
 _SIGNS = rf"({_LETTER})([.,!?;:)\]}}%&$#*]+)( |\n|$)"
 _LINE = _WS.replace("[", "([^", 1) + r")\n(" + _WS.replace("[", "[^", 1) + ")"
-_SLICE = 2000  # documents encoded at once
+_SLICE = 16 << 20  # bytes of text encoded at once
 SHARD = pa.schema([
     ("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("offsets", pa.binary()),
     ("base", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()),
@@ -58,47 +59,50 @@ _SHARD_DDL = "part int, shard int, before long, n_tokens long, doc_ids array<lon
 
 
 class CachedEncoder:
-    """The ids of texts by the tokenizers library; units that come again are looked up.
+    """The ids of texts by the tokenizers library; units that come again are looked up, also in later
+    tasks of the same Python worker, in a table of about ``max_bytes``.
 
-    A batch is split at spaces and its units numbered by Arrow; only distinct ones meet Python.
-    ``max_units`` bounds what is remembered: of a younger and an older half, the older one is
-    dropped when the younger is full, so that frequent units stay."""
+    A batch is split at spaces and its units numbered by Arrow; only distinct ones meet Python."""
 
-    def __init__(self, tokenizer_json: str, max_units: int = 1_000_000):
-        self.tokenizer_json, self.max_units = tokenizer_json, max_units
-
-    def __reduce__(self):
-        return type(self), (self.tokenizer_json, self.max_units)
-
-    @cached_property
-    def tokenizer(self):
+    def __init__(self, tokenizer_json: str, max_bytes: int = 160 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        return Tokenizer.from_str(self.tokenizer_json)
+        self.tokenizer_json, self.max_bytes = tokenizer_json, max_bytes
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.units = Recent(max_bytes)
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that begin with a space
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
+
+    def __reduce__(self):
+        return built_once, (type(self), self.tokenizer_json, self.max_bytes)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_little(array("I", e.ids)) for k in range(0, len(texts), 10_000) for e in self.tokenizer.encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False)]
 
     def _after_space(self, units: list[str]) -> list[bytes]:
-        """The ids of distinct units, each with the space before it unless it is marked as joined."""
-        if len(self.young) > self.max_units // 2:
-            self.old, self.young = self.young, {}
-        young = self.young
-        out = list(map(young.get, units))
-        missing = [i for i, v in enumerate(out) if v is None]
-        old = [self.old.get(units[i]) for i in missing]
-        new = [i for i, v in zip(missing, old, strict=True) if v is None]
-        found = iter(self._whole([units[i][1:] if units[i][:1] == _JOINED else " " + units[i] for i in new]))
-        for i, v in zip(missing, old, strict=True):
-            out[i] = young[units[i]] = next(found) if v is None else v
+        """The ids of units, each with the space before it unless it is marked as joined. The others are
+        encoded in rows of many; a row is taken apart at the ids that begin with a space, and unit
+        by unit where their number isn't that of its units."""
+        joined = [i for i, u in enumerate(units) if u[:1] == _JOINED]
+        out: list = [None] * len(units)
+        for i, ids in zip(joined, self._whole([units[i][1:] for i in joined]), strict=True):
+            out[i] = ids
+        rest = [i for i, v in enumerate(out) if v is None]
+        rows = [rest[k : k + 500] for k in range(0, len(rest), 500)]
+        for row, ids in zip(rows, self._whole([" " + " ".join(units[i] for i in row) for row in rows]), strict=True):
+            begin = np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")])
+            if len(begin) == len(row) and begin[0] == 0:
+                cut = [*(4 * begin).tolist(), len(ids)]
+                parts = [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+            else:
+                parts = self._whole([" " + units[i] for i in row])
+            for i, part in zip(row, parts, strict=True):
+                out[i] = part
         return out
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), each text's followed by end; and the number of each."""
-        self.tokenizer  # noqa: B018
         texts = pc.fill_null(texts, "")
         unsafe = pc.match_substring_regex(texts, _UNSAFE)
         whole = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
@@ -107,22 +111,24 @@ class CachedEncoder:
         split = pc.split_pattern(cut, " ")
         begin = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         units = split.flatten().dictionary_encode()
-        code = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = units.indices.to_numpy(zero_copy_only=False).copy()
         # what begins a text has no space before it; texts that can't be cut are one unit
         begins = pc.take(split.flatten(), pa.array(begin)).to_pylist()
         for i in whole.tolist():
             begins[i] = texts[i].as_py()
-        known = self._after_space(units.dictionary.to_pylist())
+        known = self.units.get(units.dictionary.to_pylist(), self._after_space)
         values = [*known, *self._whole(begins), end]
         code[begin] = len(known) + np.arange(len(begin))
         stop = np.r_[begin[1:], len(code)]
         code = np.insert(code, stop, len(values) - 1)
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        first = (np.cumsum(size) - size)[code]
+        size = np.fromiter(map(len, values), np.int32, len(values)) // 4
         n = size[code]
-        at = np.repeat(first - (np.cumsum(n) - n), n)
-        at += np.arange(len(at))
-        return np.frombuffer(b"".join(values), "<u4")[at], np.add.reduceat(n, begin + np.arange(len(begin))) if len(begin) else n[:0]
+        wide = np.int32 if n.sum(dtype=np.int64) < 1 << 31 and size.sum(dtype=np.int64) < 1 << 31 else np.int64
+        first = (np.cumsum(size, dtype=wide) - size)[code]
+        first -= np.cumsum(n, dtype=wide) - n
+        at = np.repeat(first, n)
+        at += np.arange(len(at), dtype=wide)
+        return np.frombuffer(b"".join(values), "<u4")[at], np.add.reduceat(n, begin + np.arange(len(begin)), dtype=np.int64) if len(begin) else n[:0].astype(np.int64)
 
 
 def _little(ids: array) -> bytes:
@@ -258,10 +264,11 @@ def decode_document(row: dict, k: int) -> np.ndarray:
 
 def token_shards(docs: DataFrame, tokenizer_json: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1_000_000) -> DataFrame:
     """Shards of docs in ascending id order. Null texts count as empty; equal ids stand in the
-    order of their texts, null ids first; an empty table gives no shards; other columns are ignored."""
-    from tokenizers import Tokenizer
-
-    encoder, base = CachedEncoder(tokenizer_json), max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), (end_id or 0) + 1)
+    order of a hash of their texts, null ids first, so that ranges can also part the rows of one
+    id; an empty table gives no shards; other columns are ignored; long texts are encoded whole,
+    and a document is never split between shards."""
+    encoder = built_once(CachedEncoder, tokenizer_json, 160 << 20)
+    base = max(encoder.tokenizer.get_vocab_size(), (end_id or 0) + 1)
     end = b"" if end_id is None else _u4(np.array([end_id]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +278,7 @@ def token_shards(docs: DataFrame, tokenizer_json: str, end_id: int | None = 2, i
         sizes: list[np.ndarray] = []
         n = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                some = batch.slice(at, _SLICE)
+            for some in slices(batch, 1, _SLICE):
                 ids, size = encoder.encode(some.column(1), end)
                 doc_ids += some.column(0).to_pylist()
                 held.append(ids)
@@ -285,7 +291,8 @@ def token_shards(docs: DataFrame, tokenizer_json: str, end_id: int | None = 2, i
             yield pa.RecordBatch.from_pylist([make_shard(part, shard, before, doc_ids, np.concatenate(held), np.concatenate(sizes), base)], SHARD)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _SHARD_DDL)
+    order = ["doc_id", F.xxhash64(F.coalesce("text", F.lit("")))]
+    return picked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _SHARD_DDL)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, **how) -> DataFrame:
