@@ -267,7 +267,7 @@ def _pass(docs: DataFrame, phrases: Phrases, shard_words: int, keep_text: bool)
                 out["spans"].append(_runs(flags) if items[i] else old_spans[first + i])
         return out
 
-    return docs.mapInArrow(by_batch(make, pa.schema(fields)), ", ".join(f"{n} {t}" for n, t in (("doc_id", "long"), *[("text", "string")] * keep_text, ("n_words", "long"), ("items", "array<string>"), ("spans", "array<struct<start:bigint,end:bigint>>"))))
+    return docs.mapInArrow(by_batch(make, pa.schema(fields), 64 << 20), ", ".join(f"{n} {t}" for n, t in (("doc_id", "long"), *[("text", "string")] * keep_text, ("n_words", "long"), ("items", "array<string>"), ("spans", "array<struct<start:bigint,end:bigint>>"))))
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, utf8, written
+from .common import by_batch, slices, utf8, written
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]_{|}~"
 STATISTICS = ("words", "word_len", "word_len_dev", "distinct", "distinct_pairs", "dup_lines", "line_len", "upper", "lower", "digit", "space", "newline", "beyond_ascii", "entropy", *(f"mark_{c}" for c in _MARKS))
@@ -159,9 +159,10 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
     long texts are read whole; an empty table gives no rows."""
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x = np.array([statistics(t) for t in utf8(b.column(b.schema.get_field_index(text_col)))])
+        for batch in batches:
+            i = batch.schema.get_field_index(text_col)
+            for b in slices(batch, i, 8 << 20):
+                x = np.array([statistics(t) for t in utf8(b.column(i))])
                 yield b.filter(pa.array(model.score(x) >= model.threshold))
 
     return docs.mapInArrow(run, docs.schema)

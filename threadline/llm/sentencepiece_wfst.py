@@ -35,7 +35,6 @@ import re
 import string
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +50,13 @@ START = (1 << 21) - 1  # the label before the first
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _SLICE = 1000  # texts encoded at once
 
-_CELLS = 4 << 20  # places of lattices relaxed side by side
+_CELLS = 1 << 18  # places of lattices relaxed side by side
 
 
 class Transducer:
     """The compiled model. Labels of arcs are piece ids; those of byte fallback follow after them."""
 
-    def __init__(self, model: bytes, max_bytes: int = 160 << 20):
+    def __init__(self, model: bytes, max_bytes: int = 80 << 20):
         proto = sentencepiece_model_pb2.ModelProto.FromString(model)
         if proto.trainer_spec.model_type != proto.trainer_spec.BPE or proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only BPE models with the identity normaliser are compiled")
@@ -121,7 +120,7 @@ class Transducer:
                     both = [self.names[x] if x < len(self.names) else chr(x - len(self.names)) for x in (pair >> 21, pair & START) if x != START]
                     known[i] = 0.0 if self.merged("".join(both)) == both else np.inf
                 self.pairs[pair] = known[i]
-        if len(self.pairs) > 400_000:
+        if len(self.pairs) > 150_000:
             self.old_pairs, self.pairs = self.pairs, {}
         return np.array(known)[at]
 
@@ -171,9 +170,10 @@ class Transducer:
         order = np.argsort(owner, kind="stable")
         return total, np.cumsum(np.bincount(owner, minlength=n)), label[order]
 
-    def encode_parts(self, parts: Sequence[str]) -> list[tuple[int, ...]]:
-        """The piece ids of the shortest path over each part; parts of like length go side by side."""
-        out: list = [()] * len(parts)
+    def encode_parts(self, parts: Sequence[str]) -> list[bytes]:
+        """The piece ids of the shortest path over each part, as little-endian 32-bit integers; parts of
+        like length go side by side."""
+        out: list = [b""] * len(parts)
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
         while order:
             n = max(1, min(len(order), _CELLS // len(parts[order[-1]])))
@@ -181,23 +181,25 @@ class Transducer:
             weight, ends, labels = self.shortest_paths([parts[i] for i in group])
             if np.isinf(weight).any():
                 raise ValueError(f"no path over {parts[group[int(np.isinf(weight).argmax())]][:50]!r}")
-            flat, begin, top = labels.tolist(), 0, len(self.names)
-            some_bare = bool((labels >= top).any())
-            for i, end in zip(group, ends.tolist(), strict=True):
-                own, begin = flat[begin:end], end
-                out[i] = tuple(chain.from_iterable((x,) if x < top else map(self.bytes.__getitem__, chr(x - top).encode()) for x in own) if some_bare else own)
+            top, begin = len(self.names), 0
+            raw, some_bare = labels.astype("<i4").tobytes(), bool((labels >= top).any())
+            for i, end in zip(group, (4 * ends).tolist(), strict=True):
+                own, begin = raw[begin:end], end
+                if some_bare and (own_ids := np.frombuffer(own, "<i4")).max() >= top:
+                    own = np.array([y for x in own_ids.tolist() for y in ([x] if x < top else map(self.bytes.__getitem__, chr(x - top).encode()))], "<i4").tobytes()
+                out[i] = own
         return out
 
-    def encode_batch(self, texts: Sequence[str]) -> Iterator[list[int]]:
+    def encode_batch(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         """The piece ids of each text; what comes again among all of them is looked up once."""
         for at in range(0, len(texts), _SLICE):
             cut = [(self.coarse if self.odd.search(t) else self.fine).findall(self.normalise(t)) if t else [] for t in texts[at : at + _SLICE]]
             parts = list(set().union(*cut))
             known = dict(zip(parts, self.parts.get(parts, self.encode_parts), strict=True))
-            yield from (list(chain.from_iterable(map(known.__getitem__, c))) for c in cut)
+            yield from (np.frombuffer(b"".join(map(known.__getitem__, c)), "<i4") for c in cut)
 
     def encode(self, text: str) -> list[int]:
-        return next(self.encode_batch([text]))
+        return next(self.encode_batch([text])).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of piece ids: bytes joined, the leading space mark taken off."""
@@ -207,7 +209,7 @@ class Transducer:
 
 def load_transducer(path: str) -> Transducer:
     with open(path, "rb") as f:
-        return built_once(Transducer, f.read(), 160 << 20)
+        return built_once(Transducer, f.read(), 80 << 20)
 
 
 def encode_docs(docs: DataFrame, transducer: Transducer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,9 +238,9 @@ def round_trip(docs: DataFrame, transducer: Transducer, id_col: str = "doc_id",
         out: dict = {"doc_id": batch.column(0), "n_pieces": [], "pieces_crc32": [], "text_crc32": [], "exact": []}
         texts = [t or "" for t in batch.column(1).to_pylist()]
         for text, ids in zip(texts, transducer.encode_batch(texts), strict=True):
-            again = transducer.decode(ids)
+            again = transducer.decode(ids.tolist())
             out["n_pieces"].append(len(ids))
-            out["pieces_crc32"].append(zlib.crc32(np.array(ids, "<u4").tobytes()))
+            out["pieces_crc32"].append(zlib.crc32(ids.tobytes()))
             out["text_crc32"].append(zlib.crc32(again.encode()))
             out["exact"].append(again == text)
         return out
@@ -256,8 +258,8 @@ def encode_checked(docs: DataFrame, transducer: Transducer, id_col: str = "doc_i
         out: dict = {"doc_id": batch.column(0), "n_pieces": [], "pieces": [], "exact": []}
         for text, ids in zip(texts, transducer.encode_batch(texts), strict=True):
             out["n_pieces"].append(len(ids))
-            out["pieces"].append(np.array(ids, np.int32))
-            out["exact"].append(transducer.decode(ids) == text)
+            out["pieces"].append(ids)
+            out["exact"].append(transducer.decode(ids.tolist()) == text)
         return out
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
