@@ -50,7 +50,7 @@ _SPACE = "\u0120"
 _LETTER = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
 _SIGNS = rf"({_LETTER})([.,!?;:)\]}}%&$#*]+)( |\n|$)"
 _LINE = _WS.replace("[", "([^", 1) + r")\n(" + _WS.replace("[", "[^", 1) + ")"
-_SLICE = 16 << 20  # bytes of text encoded at once
+_SLICE = 8 << 20  # bytes of text encoded at once
 SHARD = pa.schema([
     ("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("offsets", pa.binary()),
     ("base", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()),
@@ -64,7 +64,7 @@ class CachedEncoder:
 
     A batch is split at spaces and its units numbered by Arrow; only distinct ones meet Python."""
 
-    def __init__(self, tokenizer_json: str, max_bytes: int = 160 << 20):
+    def __init__(self, tokenizer_json: str, max_bytes: int = 112 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
@@ -267,7 +267,7 @@ def token_shards(docs: DataFrame, tokenizer_json: str, end_id: int | None = 2, i
     order of a hash of their texts, null ids first, so that ranges can also part the rows of one
     id; an empty table gives no shards; other columns are ignored; long texts are encoded whole,
     and a document is never split between shards."""
-    encoder = built_once(CachedEncoder, tokenizer_json, 160 << 20)
+    encoder = built_once(CachedEncoder, tokenizer_json, 112 << 20)
     base = max(encoder.tokenizer.get_vocab_size(), (end_id or 0) + 1)
     end = b"" if end_id is None else _u4(np.array([end_id]))
 
@@ -284,6 +284,7 @@ def token_shards(docs: DataFrame, tokenizer_json: str, end_id: int | None = 2, i
                 held.append(ids)
                 sizes.append(size)
                 n += len(ids)
+                pa.default_memory_pool().release_unused()  # the copies that the cut made
                 if n >= shard_tokens:
                     yield pa.RecordBatch.from_pylist([make_shard(part, shard, before, doc_ids, np.concatenate(held), np.concatenate(sizes), base)], SHARD)
                     doc_ids, held, sizes, shard, before, n = [], [], [], shard + 1, before + n, 0
