@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import table
 from .decontaminate import contamination
 from .license_scan import scan_licences
-from .oracle import OP1_SQL, OP3_SQL, OP4_SQL, OP5_SQL
+from .oracle import OP1_SQL, OP3_SQL, OP4_SQL, OP5_SQL, OP12_SQL, OP13_SQL
 from .pii import KINDS as PII_KINDS
 from .pii import fit_pii, pii_spans
 from .quality_classifier import classify_quality
@@ -19,6 +20,8 @@ from .sentencepiece_wfst import load_transducer, round_trip
 from .simhash import simhash_components
 from .token_output import shared_shards, token_index
 from .url_filter import Rule, filter_urls, link_heavy
+from .warc import round_trip as warc_round_trip
+from .whitening import whiten
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +107,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_token_binary_output, op3_quality_rules, op4_license_scans, op5_url_filters, op6_pii, op7_quality_classifier, op8_sentencepiece, op9_secret_scans, op10_simhash_near_dedup)}
-ORACLE_SQL = {"op1_benchmark_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_license_scans": OP4_SQL, "op5_url_filters": OP5_SQL}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination, op2_token_binary_output, op3_quality_rules, op4_license_scans, op5_url_filters, op6_pii, op7_quality_classifier, op8_sentencepiece, op9_secret_scans,
+        op10_simhash_near_dedup, op11_embedding_whitening, op12_warc, op13_phrase_collocations,
+    )
+}
+ORACLE_SQL = {
+    "op1_benchmark_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_license_scans": OP4_SQL, "op5_url_filters": OP5_SQL, "op12_warc": OP12_SQL, "op13_phrase_collocations": OP13_SQL,
+}
