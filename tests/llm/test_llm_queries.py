@@ -8,5 +8,5 @@ def test_query_against_sql(name, matches_sql):
     assert matches_sql(QUERIES[name], ORACLE_SQL[name])
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_every_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -222,7 +222,7 @@ def test_added_spans_on_planted_forms(spark):
 
 
 def test_windows_show_every_character():
-    text = "left side " + "".join(chr(48 + i % 75) for i in range(200)) + " right side"
+    text = "left side " + "".join(random.Random(3).choices(BASE, k=200)) + " right side"
     seen = S.windows(text, 10, 210)[:, S.SIDE : S.SIDE + S.INNER]
     starts = [text.index(bytes(w).decode()) for w in seen.tolist()]
     assert {i for s in starts for i in range(s, s + S.INNER)} >= set(range(10, 210))
