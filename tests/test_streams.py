@@ -4,22 +4,48 @@ from threadline.operators import harvest as H
 from threadline.plans import fixtures as fx
 from threadline.sources import snapshots as SRC
 from threadline.streaming import harvest as ST
+from threadline.streaming.state import COMMENTS
 
 
-def test_batch_and_stream_agree(spark, sf_dir, tmp_path):
+def shown(df):
+    return sorted(tuple(r) for r in df.select("run_id", "_key", "text", "likes").collect())
+
+
+def test_batch_and_stream_agree_over_restarts(spark, sf_dir, tmp_path):
     rows = fx.live_snapshots(spark, sf_dir).cache()
     for seq in (1, 3, 5, 7):
         rows.filter(f"snapshot_seq = {seq}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = SRC.stream_snapshots(spark, str(tmp_path / "in"), files_per_trigger=1)
-    ST.stream_harvest(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        if seq > 1:  # the queries stop after each, and go on from their checkpoints
+            ST.stream_harvest(SRC.stream_snapshots(spark, str(tmp_path / "in"), files_per_trigger=1), str(tmp_path))
+    rows.filter("snapshot_seq = 5").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # all of it was there before
+    ST.stream_harvest(SRC.stream_snapshots(spark, str(tmp_path / "in")), str(tmp_path))
     got = ST.committed(spark, str(tmp_path / "out"))
-    want = H.dedup_first_wins(ST.parse_batch(rows))
-    shown = lambda f: sorted(tuple(r) for r in f.select("run_id", "_key", "text", "likes").collect())
     assert got.select("batch").distinct().count() > 1
-    assert shown(got) == shown(want)
+    assert shown(got) == shown(H.dedup_first_wins(ST.parse_batch(rows.filter("snapshot_seq <= 7"))))
     rows.unpersist()
 
 
+def comment(run, seq, key, text):
+    return (run, seq, 1, 0, "classic", text, 0, 0, key)
+
+
+def test_gate_by_arriving_events(spark, tmp_path):
+    steps = [
+        ([("a", 0, None, "startExport", 5)], [comment("a", 1, "k1", "first"), comment("a", 2, "k1", "again"), comment("b", 1, "k1", "never started")]),
+        ([("a", 5, None, "cancelExport", None), ("b", 5, None, "startExport", None)], [comment("a", 4, "k2", "just before"), comment("a", 5, "k3", "with the cancel"), comment("b", 6, "k1", "started")]),
+        ([("a", 9, None, "getProgress", None)], [comment("a", 3, "k4", "late, after the end"), comment("b", 7, "k1", "again"), comment("b", 8, None, "no key")]),
+        ([("a", 20, None, "startExport", None), ("b", 30, None, "finishExport", None)], [comment("a", 21, "k2", "known"), comment("a", 22, "k5", "a new start"), comment("b", 29, "k9", "last"), comment("b", 31, "k8", "over")]),
+    ]
+    for k, (events, comments) in enumerate(steps):
+        spark.createDataFrame(events, SRC.RUN_EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        spark.createDataFrame(comments, COMMENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "parsed"))
+        stream = spark.readStream.schema(COMMENTS).parquet(str(tmp_path / "parsed"))
+        ST.stream_first_wins(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), SRC.stream_run_events(spark, str(tmp_path / "events"))).awaitTermination()
+        assert k or ST.committed(spark, str(tmp_path / "out")).count() == 1
+    got = ST.committed(spark, str(tmp_path / "out"))
+    assert sorted(r.text for r in got.collect()) == ["a new start", "first", "just before", "last", "no key", "started"]
+
+
 def test_control_stream_and_bounded_dedup(spark, tmp_path):
     SRC_ROWS = [("r", 0, None, "startExport", 5), ("r", 1, None, "finishExport", None)]
     spark.createDataFrame(SRC_ROWS, SRC.RUN_EVENTS).write.parquet(str(tmp_path / "in"))

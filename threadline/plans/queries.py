@@ -3,7 +3,6 @@ snapshots were made of, never from their markup."""
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Callable
 
@@ -468,17 +467,19 @@ def cancel_vs_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams
 
 
-def _streamed(spark: SparkSession, sf_dir: str, active: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The live fragments as a stream of several files, harvested batch by batch."""
+def _streamed(spark: SparkSession, sf_dir: str, control: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The live fragments as a stream, harvested in two steps: in each, fragments and control events of a range of
+    turns arrive, and the queries go on from their checkpoints."""
     base = scratch(spark, "stream")
     rows = kept(fx.live_snapshots(spark, sf_dir), "fragments")
-    turns = sorted(r.snapshot_seq for r in rows.select("snapshot_seq").distinct().collect())  # the turns of a conversation: few
-    half = turns[len(turns) // 2] if turns else 0
-    for part in (rows.filter(F.col("snapshot_seq") < half), rows.filter(F.col("snapshot_seq") >= half)):
-        part.repartition("page_id").write.mode("append").parquet(f"{base}/in")
-        time.sleep(0.05)
-    stream = SRC.stream_snapshots(spark, f"{base}/in")
-    ST.stream_harvest(stream, f"{base}/out", f"{base}/checkpoint", active(rows) if active else None).awaitTermination()
+    half = rows.agg(F.floor(F.avg("snapshot_seq"))).first()[0] or 0
+    events = kept(control(rows).select(*[F.col(f.name).cast(f.dataType) for f in SRC.RUN_EVENTS]), "control") if control else None
+    for early in (True, False):
+        in_step = lambda c: F.col(c) < half if early else F.col(c) >= half  # noqa: B023, E731
+        rows.filter(in_step("snapshot_seq")).repartition("page_id").write.mode("append").parquet(f"{base}/in")
+        if events is not None:
+            events.filter(in_step("seq")).write.mode("append").parquet(f"{base}/events")
+        ST.stream_harvest(SRC.stream_snapshots(spark, f"{base}/in"), base, SRC.stream_run_events(spark, f"{base}/events") if control else None)
     return ST.committed(spark, f"{base}/out")
 
 
@@ -492,9 +493,15 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("_key").alias("keys"))
 
 
-@query("stream_gate", _with(_TURNS, "SELECT run_id, _key, text FROM live WHERE page_id % 2 = 0"))
+@query("stream_gate", _with(_TURNS, "SELECT run_id, _key, text FROM live WHERE page_id % 2 = 0 AND (page_id % 4 <> 0 OR turn < 4)"))
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda rows: rows.filter("page_id % 2 = 0")).select("run_id", "_key", "text")
+    """Runs of even pages start; those of every fourth page are cancelled at turn 4, while fragments still arrive."""
+
+    def control(rows: DataFrame) -> DataFrame:
+        of = lambda where, action, seq: rows.filter(where).select("run_id").distinct().select("run_id", F.lit(seq).alias("seq"), F.lit(None).alias("ts"), F.lit(action).alias("action"), F.lit(None).alias("limit"))
+        return of("page_id % 2 = 0", "startExport", 0).union(of("page_id % 4 = 0", "cancelExport", 4)).union(of("page_id % 4 = 0", "getProgress", 5))
+
+    return _streamed(spark, sf_dir, control).select("run_id", "_key", "text")
 
 
 @query("stream_late_repair", _with(_TURNS, "SELECT run_id, _key, pass, text FROM store"))

@@ -1,22 +1,21 @@
 """Structured Streaming jobs: the harvest of a run while its fragments arrive.
 
-State that must be exact over a whole run is a table of committed batches; a batch writes its own
-folder, so that a retried batch replaces itself. Windows are not allowed on streams, so
-parsing and ranking happen inside foreachBatch, on the batch alone."""
+Two queries: one parses arriving fragments (windows are not allowed on streams, so inside foreachBatch, on
+the batch alone), the other lets the first comment of each key through by keyed state. A batch writes its
+own folder, so that a retried batch replaces itself, and no batch reads what earlier ones wrote."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.extract import find_threads, parse_threads
 from ..operators.harvest import dedup_first_wins, with_arrival
+from .state import COMMENTS, first_wins, rocks_db
 
 KEYS = ("run_id", "snapshot_seq", "page_id")
-COMMENTS_DDL = "run_id string, snapshot_seq long, page_id long, thread_ord long, layout string, text string, likes long, replyCount long, _key string, arrival_seq struct<pass:int,snapshot_seq:bigint,thread_ord:bigint>"
+COMMENTS_DDL = f"{COMMENTS}, arrival_seq struct<pass:int,snapshot_seq:bigint,thread_ord:bigint>"
 
 
 def parse_batch(snapshots: DataFrame, outermost: bool = False) -> DataFrame:
@@ -30,25 +29,30 @@ def committed(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(f"{COMMENTS_DDL}, batch long").option("ignoreMissingFiles", "true").parquet(out)
 
 
-def first_wins_batch(out: str) -> Callable[[DataFrame, int], None]:
-    """Writes a batch's comments whose keys no earlier batch committed, the first of each."""
+def stream_parse(snapshots: DataFrame, parsed: str, checkpoint: str) -> StreamingQuery:
+    """Parses fragments as they arrive into a table of comments, the first of each key in a batch. Takes what is
+    there and stops (availableNow), as the queries below do."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = dedup_first_wins(parse_batch(batch, outermost=True))
-        if batch_id:
-            known = committed(spark, out).filter(F.col("batch") < batch_id).select("run_id", "_key")
-            new = new.join(known, ["run_id", "_key"], "left_anti")
-        new.select(*[c.split()[0] for c in COMMENTS_DDL.split(", ")]).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        dedup_first_wins(parse_batch(batch, outermost=True)).drop("arrival_seq").write.mode("overwrite").parquet(f"{parsed}/batch={batch_id}")
+
+    return snapshots.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return run
+def stream_first_wins(comments: DataFrame, out: str, checkpoint: str, control: DataFrame | None = None) -> StreamingQuery:
+    """Commits the comments whose keys no earlier batch had, while their run goes on (see first_wins())."""
+    new = with_arrival(first_wins(comments, control))
+    with rocks_db(comments.sparkSession):
+        return collect_stream(new, out, checkpoint, "append")
 
 
-def stream_harvest(snapshots: DataFrame, out: str, checkpoint: str, active: DataFrame | None = None) -> StreamingQuery:
-    """Parses and commits fragments as they arrive; active(run_id) gates them by a join with the
-    runs that go on. Takes what is there and stops (availableNow)."""
-    rows = snapshots.join(active.select("run_id").distinct(), "run_id", "left_semi") if active is not None else snapshots
-    return rows.writeStream.foreachBatch(first_wins_batch(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_harvest(snapshots: DataFrame, base: str, control: DataFrame | None = None) -> None:
+    """Parses, gates and commits what has arrived, below the folder base; committed(spark, base + "/out") has the
+    result. Called again it goes on where it stopped."""
+    spark = snapshots.sparkSession
+    stream_parse(snapshots, f"{base}/parsed", f"{base}/parsing").awaitTermination()
+    comments = spark.readStream.schema(f"{COMMENTS}, batch long").parquet(f"{base}/parsed")
+    stream_first_wins(comments, f"{base}/out", f"{base}/keeping", control).awaitTermination()
 
 
 def bounded_dedup(comments: DataFrame, late: str = "10 minutes") -> DataFrame:
