@@ -1,7 +1,7 @@
 """A structural profile of pages of the second family.
 
-What stands inside what is an interval join within a page. Elements are reduced to the few that
-matter first (times, profile links, and the ancestors of times), and nodes are written once."""
+What stands inside what is found by one ordered pass over a page (intervals.py). Elements are reduced to the
+few that matter first (times, profile links, and the ancestors of times), and nodes are written once."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import js_trim, slice_n
 from ..functions.urls import is_profile
+from .intervals import inner_text, innermost
 
 #: What triggers and replies say, and how much of everything is shown.
 LOAD_MORE = r"(?i)load\s*more\s*comments|view\s*(all\s*)?\d|more\s*comments"
@@ -48,21 +49,18 @@ def blocks(nodes: DataFrame, first_only: bool = False) -> DataFrame:
     times = nodes.filter(is_time()).select("page_id", F.col("ord").alias("time_ord"))
     if first_only:
         times = times.groupBy("page_id").agg(F.min("time_ord").alias("time_ord"))
-    around = ancestor_counts(nodes).filter("times > 1 or times = 1 and links >= 1").select("page_id", F.struct("ord", "end", "tag", "attrs", "times", "links").alias("a"))
-    inside = (F.col("a.ord") < F.col("time_ord")) & (F.col("time_ord") < F.col("a.end"))
-    pairs = times.join(around, "page_id").filter(inside)
-    best = pairs.groupBy("page_id", "time_ord").agg(F.max_by("a", F.col("a.ord")).alias("block"))
-    return times.join(best, ["page_id", "time_ord"], "left")
+    around = ancestor_counts(nodes).filter("times > 1 or times = 1 and links >= 1").select("page_id", "ord", "end", F.struct("ord", "end", "tag", "attrs", "times", "links").alias("block"))
+    best = innermost(around.select("page_id", "ord", "end"), times.select("page_id", F.col("time_ord").alias("at"), F.col("time_ord").alias("until")))
+    return best.join(around.drop("end"), ["page_id", "ord"], "left").select("page_id", F.col("at").alias("time_ord"), "block")
 
 
 def containers(nodes: DataFrame) -> DataFrame:
     """(page_id, block, container): the page's first block, and the innermost element around it with
     three times or more."""
     first = blocks(nodes, first_only=True).select("page_id", "block")
-    many = ancestor_counts(nodes).filter("times >= 3").select("page_id", F.struct("ord", "end", "tag", "attrs").alias("a"))
-    inside = (F.col("a.ord") < F.col("block.ord")) & (F.col("block.end") < F.col("a.end"))
-    best = first.join(many, "page_id").filter(inside).groupBy("page_id").agg(F.max_by("a", F.col("a.ord")).alias("container"))
-    return first.join(best, "page_id", "left")
+    many = ancestor_counts(nodes).filter("times >= 3").select("page_id", "ord", "end", F.struct("ord", "end", "tag", "attrs").alias("container"))
+    best = innermost(many.select("page_id", "ord", "end"), first.filter("block is not null").select("page_id", F.col("block.ord").alias("at"), F.col("block.end").alias("until")))
+    return first.join(best.join(many.drop("end"), ["page_id", "ord"]).select("page_id", "container"), "page_id", "left")
 
 
 def container_attrs(found: DataFrame) -> DataFrame:
@@ -97,14 +95,8 @@ def like_labels(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def with_content(nodes: DataFrame, where: Column) -> DataFrame:
-    """(page_id, ord, end, tag, content) of the elements for which where holds: all text inside.
-
-    Texts are joined to elements by interval within the page; an element without text stays."""
-    els = nodes.filter(F.col("kind").isin("open", "void") & where).select("page_id", "ord", "end", "tag")
-    texts = nodes.filter("kind = 'text'").select(F.col("page_id").alias("p"), F.col("ord").alias("at"), "text")
-    rows = els.join(texts, (F.col("page_id") == F.col("p")) & (F.col("at") > F.col("ord")) & (F.col("at") < F.col("end")), "left")
-    content = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "text")))), lambda x: x["text"]), "")
-    return rows.groupBy("page_id", "ord", "end", "tag").agg(js_trim(content).alias("content"))
+    """(page_id, ord, end, tag, content) of the elements for which where holds: all text inside, trimmed."""
+    return inner_text(nodes, where).withColumn("content", js_trim(F.col("content")))
 
 
 def _is_button() -> Column:

@@ -1,8 +1,8 @@
 """Comments as text and JSON documents, one for each run.
 
-A run's document is one ordered aggregate; exports are limited per run before it, so a group
-holds at most the limit.
-"""
+fmt_txt() and fmt_json() make a run's document one row, by an ordered aggregate: for runs that fit
+into a row, as limited exports do. export_lines() makes it many rows, for runs of any size: in order of
+arrival they are the same document, with the head on the first and the tail on the last."""
 
 from __future__ import annotations
 
@@ -44,6 +44,22 @@ def fmt_json(comments: DataFrame) -> DataFrame:
     return out.withColumn("body", F.concat(F.lit("[\n"), F.col("body"), F.lit("\n]")))
 
 
+def export_lines(comments: DataFrame, form: str, salts: int = 16) -> DataFrame:
+    """(run_id, arrival_seq, value): a comment each; the values of a run in order of arrival, joined by newlines, are what
+    fmt_txt() or fmt_json() make of it. No run is gathered: which rows are first and last comes from an
+    aggregate, joined back over ``salts`` keys a run. Arrivals of a run must differ; a null run_id is left out."""
+    block = (txt_block if form == "txt" else json_block)(F.col("text"), F.col("likes"), F.col("replyCount"))
+    rows = comments.select("run_id", "arrival_seq", block.alias("value"))
+    if form == "txt":
+        return rows.filter("run_id is not null")
+    ends = comments.groupBy("run_id").agg(F.min("arrival_seq").alias("first"), F.max("arrival_seq").alias("last"))
+    ends = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = rows.withColumn("salt", F.pmod(F.xxhash64("arrival_seq"), F.lit(salts)).cast("int")).join(ends, ["run_id", "salt"])
+    head = F.when(F.col("arrival_seq") == F.col("first"), "[\n").otherwise("")
+    tail = F.when(F.col("arrival_seq") == F.col("last"), "\n]").otherwise(",")
+    return found.select("run_id", "arrival_seq", F.concat(head, "value", tail).alias("value"))
+
+
 def exports(comments: DataFrame, titles: DataFrame, form: str) -> DataFrame:
     """(run_id, name, body) of every run with rows; titles(run_id, title)."""
     body = fmt_txt(comments) if form == "txt" else fmt_json(comments)

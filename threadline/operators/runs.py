@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Polls without growth that end a run, samples in the ring, and what runs report.
-MAX_STALLS, RING, THROTTLE = 5, 10, "500 milliseconds"
+MAX_STALLS, RING, THROTTLE, THROTTLE_MS = 5, 10, "500 milliseconds", 500
 DISABLED = "Comments are disabled for this video."
 NOT_FOUND = "Could not find the comments section. The video may be age-restricted or unavailable."
 NO_COMMENTS = "No comments found. The video may have comments disabled or restricted."
@@ -102,7 +106,48 @@ def snapshot_view(state: DataFrame, samples: DataFrame) -> DataFrame:
     return state.join(last, "run_id", "left")
 
 
-def throttle_progress(samples: DataFrame, width: str = THROTTLE) -> DataFrame:
-    """(run_id, window_start, n): the last count of every window of the clock grid that has one.
-    (The timers of a browser start at the first change instead.)"""
+def throttle_grid(samples: DataFrame, width: str = THROTTLE) -> DataFrame:
+    """(run_id, window_start, n): the last count of every window of the clock grid that has one."""
     return samples.groupBy("run_id", F.window("ts", width).alias("w")).agg(F.max_by("n", "seq").alias("n")).select("run_id", F.col("w.start").alias("window_start"), "n")
+
+
+def throttle_progress(samples: DataFrame, width_ms: int = THROTTLE_MS) -> DataFrame:
+    """(run_id, at_ms, n) of samples(run_id, ts, seq, n): the first change arms a timer; when it fires, after width_ms,
+    the latest count is told, and the next change arms it again. A change at the very time comes too late.
+
+    One ordered pass over each run, from one armed sample to the next; a task holds a batch and two numbers, so a
+    run may be of any length. Samples without a time or count are left out; a null run_id is a run."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, armed, last = None, None, 0
+        for batch in batches:
+            told: list[tuple] = []
+            runs, ms, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            ends = [i for i in range(1, len(runs)) if runs[i] != runs[i - 1]] + [len(runs)]
+            at = 0
+            for end in ends:
+                if runs[at] != run:
+                    if armed is not None:
+                        told.append((run, armed + width_ms, last))
+                    run, armed = runs[at], None
+                while at < end:
+                    if armed is None:
+                        armed = int(ms[at])
+                    following = at + int(np.searchsorted(ms[at:end], armed + width_ms))
+                    if following > at:
+                        last = n[following - 1]
+                    if following < end:
+                        told.append((run, armed + width_ms, last))
+                        armed = None
+                    at = following
+            yield _told(told)
+        if armed is not None:
+            yield _told([(run, armed + width_ms, last)])
+
+    rows = samples.filter("ts is not null and n is not null").select(F.col("run_id").cast("string"), F.unix_millis("ts").alias("ms"), F.col("n").cast("long"), "seq")
+    rows = rows.repartition("run_id").sortWithinPartitions("run_id", "ms", "seq")
+    return rows.select("run_id", "ms", "n").mapInArrow(fold, "run_id string, at_ms long, n long")
+
+
+def _told(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["run_id", "at_ms", "n"])

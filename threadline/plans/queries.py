@@ -202,11 +202,24 @@ def written_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export files as written, read back and parsed."""
     limit, form = SRC.valid_request(LIMIT, "json")
     path = scratch(spark, "exports")
-    SRC.write_exports(R.exports(H.limit_n(store(spark, sf_dir), limit), titles(spark, sf_dir), form), path)
-    rows = spark.read.text(path, wholetext=True).select("name", F.explode(F.from_json("value", "array<struct<text:string,likes:bigint,replyCount:bigint>>")).alias("c"))
+    lines = R.export_lines(kept(H.limit_n(store(spark, sf_dir), limit), "limited"), form)
+    SRC.write_export_lines(lines, titles(spark, sf_dir), form, path)
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "value"))), lambda x: x["value"]), "")  # limited exports: small
+    files = SRC.read_exports(spark, path).groupBy("name").agg(parts.alias("body"))
+    rows = files.select("name", F.explode(F.from_json("body", "array<struct<text:string,likes:bigint,replyCount:bigint>>")).alias("c"))
     return rows.groupBy("name").agg(F.count("*").alias("comments"), F.sum("c.likes").alias("likes"))
 
 
+@query("export_lines", _with(_TURNS, f"SELECT run_id, _key, {_BLOCK_TXT} AS txt, CASE WHEN place = 1 THEN '[' || chr(10) ELSE '' END || {_BLOCK_JSON} || CASE WHEN place = max(place) OVER (PARTITION BY run_id) THEN chr(10) || ']' ELSE ',' END AS json FROM store"))
+def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of whole runs, without a limit, a comment a row."""
+    rows = kept(store(spark, sf_dir), "store")
+    out = rows.select("run_id", "arrival_seq", "_key")
+    for form in SRC.FORMATS:
+        out = out.join(R.export_lines(rows, form).withColumnRenamed("value", form), ["run_id", "arrival_seq"])
+    return out.drop("arrival_seq")
+
+
 # ---- routing, threads
 
 
@@ -404,9 +417,20 @@ def stop_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.stop_reason(fx.polls(spark, sf_dir))
 
 
-@query("throttle_progress", _with(_EVENTS, "SELECT run_id, epoch_us(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')) AS began, max(seq) AS n FROM e GROUP BY ALL"))
+@query("throttle_grid", _with(_EVENTS, "SELECT run_id, epoch_us(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')) AS began, max(seq) AS n FROM e GROUP BY ALL"))
+def throttle_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.throttle_grid(fx.samples(spark, sf_dir), "6 hours").select("run_id", F.unix_micros("window_start").alias("began"), "n")
+
+
+_SIX_HOURS = 21_600_000
+
+
+@query("throttle_progress", f"""WITH RECURSIVE {_EVENTS.strip()},
+m AS (SELECT run_id, seq, epoch_us(ts) // 1000 AS ms FROM e),
+armed AS (SELECT run_id, min(ms) AS at FROM m GROUP BY run_id UNION ALL SELECT a.run_id, min(m.ms) FROM armed a JOIN m ON m.run_id = a.run_id AND m.ms >= a.at + {_SIX_HOURS} GROUP BY a.run_id, a.at)
+SELECT a.run_id, a.at + {_SIX_HOURS} AS at_ms, max(m.seq) AS n FROM armed a JOIN m ON m.run_id = a.run_id AND m.ms < a.at + {_SIX_HOURS} GROUP BY a.run_id, a.at""")
 def throttle_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.throttle_progress(fx.samples(spark, sf_dir), "6 hours").select("run_id", F.unix_micros("window_start").alias("began"), "n")
+    return S.throttle_progress(fx.samples(spark, sf_dir), _SIX_HOURS)
 
 
 @query("run_outcome", _with(_POLLS, f"SELECT run_id, stop, CASE WHEN stop = 'aborted' THEN '{S.CANCELLED}' WHEN run_id::INT % 7 = 0 THEN '{S.DISABLED}' WHEN run_id::INT % 7 = 1 THEN '{S.NOT_FOUND}' WHEN stop = 'stalled' AND n = 0 THEN '{S.NO_COMMENTS}' ELSE 'complete' END AS outcome FROM (SELECT s.run_id, stop, coalesce(p.distinct_keys, 0) AS n FROM stops s LEFT JOIN p1 p ON p.run_id = s.run_id AND p.poll_seq = s.stop_seq)"))
@@ -531,7 +555,7 @@ def _event_stream(spark: SparkSession, rows: DataFrame, base: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(f"{base}/in")
 
 
-@query("stream_throttle", ORACLE_SQL["throttle_progress"])
+@query("stream_throttle", ORACLE_SQL["throttle_grid"])
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch(spark, "stream")
     counted = ST.stream_throttle(_event_stream(spark, fx.samples(spark, sf_dir), base), "6 hours")
@@ -562,13 +586,7 @@ def _timed(spark: SparkSession, rows: DataFrame, timed: Callable[[DataFrame], Da
     return spark.read.schema(told.schema).parquet(f"{base}/out").filter("run_id <> ''").drop("batch")
 
 
-_SIX_HOURS = 21_600_000
-
-
-@query("stream_throttle_exact", f"""WITH RECURSIVE {_EVENTS.strip()},
-m AS (SELECT run_id, seq, epoch_us(ts) // 1000 AS ms FROM e),
-armed AS (SELECT run_id, min(ms) AS at FROM m GROUP BY run_id UNION ALL SELECT a.run_id, min(m.ms) FROM armed a JOIN m ON m.run_id = a.run_id AND m.ms >= a.at + {_SIX_HOURS} GROUP BY a.run_id, a.at)
-SELECT a.run_id, a.at + {_SIX_HOURS} AS at_ms, max(m.seq) AS n FROM armed a JOIN m ON m.run_id = a.run_id AND m.ms < a.at + {_SIX_HOURS} GROUP BY a.run_id, a.at""")
+@query("stream_throttle_exact", ORACLE_SQL["throttle_progress"])
 def stream_throttle_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = fx.samples(spark, sf_dir).select("run_id", "ts", "seq", "n")
     return _timed(spark, samples, lambda s: TM.throttle_exact(s, _SIX_HOURS))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import export_name
 from ..functions.urls import page_family
 
 SNAPSHOTS = T.StructType([
@@ -50,6 +51,20 @@ def write_exports(exports: DataFrame, path: str) -> None:
     exports.select("name", F.col("body").alias("value")).write.partitionBy("name").option("lineSep", "\n").text(path)
 
 
+def write_export_lines(lines: DataFrame, titles: DataFrame, form: str, path: str) -> None:
+    """Exports of any size: lines(run_id, arrival_seq, value) of export_lines(), as text files in a folder for each name.
+    Rows are range-partitioned and sorted by name and arrival, so a large run is written by many tasks, and its
+    files in order of their names, end to end, are its document. Runs that share a name follow each other."""
+    named = lines.join(titles, "run_id", "left").select(export_name(F.col("title"), form).alias("name"), "run_id", "arrival_seq", "value")
+    order = ("name", "run_id", "arrival_seq")
+    named.repartitionByRange(*order).sortWithinPartitions(*order).select("name", "value").write.partitionBy("name").option("lineSep", "\n").text(path)
+
+
+def read_exports(spark: SparkSession, path: str) -> DataFrame:
+    """(name, part, value) of written exports: the whole text of each file; part gives the order of a name's files."""
+    return spark.read.text(path, wholetext=True).select("name", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1).cast("int").alias("part"), "value")
+
+
 def write_comments(comments: DataFrame, path: str) -> None:
     """The comments of many runs as JSON lines, a folder for each run."""
     comments.write.partitionBy("run_id").option("ignoreNullFields", "false").json(path)
