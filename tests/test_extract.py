@@ -81,7 +81,7 @@ def test_time_link_by_class(spark):
 
 def test_issues(spark):
     rows = E.find_threads(page(spark, thread("<i></i>") + thread("<ytd-comment-view-model>x</ytd-comment-view-model>")))
-    issues = E.extraction_issues(rows, E.parse_threads(rows)).collect()
+    issues = E.extraction_issues(E.examine_threads(rows)).collect()
     assert sorted(r.code for r in issues) == ["alternate_layout", "likes_selector_miss", "unhydrated"]
     assert all(r.snippet.startswith("<ytd-comment") for r in issues)
 

@@ -1,6 +1,12 @@
 """A stream of fragments gives what a batch over them gives."""
 
+from collections import Counter
+
+from pyspark.sql import Observation
+
+from threadline.operators import extract as E
 from threadline.operators import harvest as H
+from threadline.operators import runs as S
 from threadline.plans import fixtures as fx
 from threadline.sources import snapshots as SRC
 from threadline.streaming import harvest as ST
@@ -59,3 +65,31 @@ def test_control_stream_and_bounded_dedup(spark, tmp_path):
     q = ST.bounded_dedup(stream).writeStream.format("memory").queryName("bounded").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "e")).start()
     q.awaitTermination()
     assert sorted(r._key for r in spark.table("bounded").collect()) == ["a", "b"]
+
+
+def test_view_after_each_batch(spark, tmp_path):
+    kind = "run_id string, seq long, kind string, n long, total long, message string"
+    steps = [[("a", 1, "reset", 0, 9, None), ("b", 1, "progress", 4, 9, "Loading")], [("a", 2, "complete", 7, 9, None), ("b", 0, "reset", 0, 9, None)], [("c", 1, "fail", 1, 9, "gone")]]
+    told = []
+    for k, rows in enumerate(steps):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ST.stream_run_state(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "checkpoint")).awaitTermination()
+        told += rows
+        want = sorted(map(str, S.run_state(spark.createDataFrame(told, kind)).collect()))
+        assert sorted(map(str, ST.view_run_state(spark, str(tmp_path / "checkpoint")).collect())) == want
+    assert {r.run_id for r in ST.view_run_state(spark, str(tmp_path / "checkpoint"), 0).collect()} == {"a", "b"}
+
+
+def test_sketches_stay_within_their_error(spark):
+    rows = spark.range(60_000).selectExpr("'r' as run_id", "id % 7 as snapshot_seq", "concat('k', id % 40000) as _key")
+    n = H.merged_count(H.key_sketches(rows)).first().n
+    assert abs(n - 40_000) < 4 * 0.0163 * 40_000
+    assert H.merged_count(H.key_sketches(rows.limit(0))).collect() == []
+
+
+def test_issues_are_counted_in_the_same_pass(spark, sf_dir):
+    seen = Observation("issues")
+    rows = E.with_issue_counts(E.examine_threads(E.find_threads(fx.watch_snapshots(spark, sf_dir), ST.KEYS), ST.KEYS), seen)
+    found = Counter(r.code for r in E.extraction_issues(rows, ST.KEYS).collect())
+    assert {c: seen.get[c] for c in E.CODES} == {c: found.get(c, 0) for c in E.CODES} and seen.get["threads"] > sum(found.values()) > 0
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import KEY_TEXT_LENGTH, WS, compact_count, first_int, js_trim, normalize_ws, slice_n
@@ -120,10 +120,10 @@ def dedup_key(attr: Column, href: Column, inner_id: Column, likes: Column, text:
     return F.coalesce(F.nullif(attr, F.lit("")), lc_param(href, compat), inner, fingerprint(likes, text))
 
 
-def parse_threads(threads: DataFrame, keys: Sequence[str] = ("page_id",), compat: bool = False) -> DataFrame:
-    """(keys, thread_ord, layout, text, likes, replyCount, _key, likes_missed, thread_html) of every thread that
-    holds a comment element, all fields from one row's elements."""
-    rows = _field_elements(filter_hydrated(threads), compat)
+def examine_threads(threads: DataFrame, keys: Sequence[str] = ("page_id",), compat: bool = False) -> DataFrame:
+    """(keys, thread_ord, layout, text, likes, replyCount, _key, likes_missed, issues) of every thread, all from one row's
+    elements. issues(code, snippet): no comment yet, the other layout, or no element for likes."""
+    rows = _field_elements(with_layout(threads), compat)
     text = F.coalesce(normalize_ws(content("els", F.col("text_el"))), F.lit(""))
     label = F.regexp_extract(F.col("label_el.attrs.aria-label"), LIKES_LABEL, 1)
     likes = F.when(F.col("vote_el").isNotNull(), compact_count(content("els", F.col("vote_el")))).when(F.col("label_el").isNotNull(), compact_count(label)).otherwise(F.lit(0).cast("long"))
@@ -131,23 +131,37 @@ def parse_threads(threads: DataFrame, keys: Sequence[str] = ("page_id",), compat
     missed = F.col("vote_el").isNull() & F.col("label_el").isNull()
     rows = rows.withColumns({"c_text": text, "likes": likes, "replyCount": replies, "likes_missed": missed})
     key = dedup_key(F.col("thread.attrs.data-comment-id"), F.col("link_el.attrs.href"), F.col("inner_el.attrs.id"), F.col("likes"), F.col("c_text"), compat)
-    return rows.select(
-        *keys, "thread_ord", "layout", F.col("c_text").alias("text"), "likes", "replyCount", key.alias("_key"), "likes_missed",
-        outer_html("els", F.col("comment"), SNIPPET).alias("comment_html"), outer_html("els", F.col("thread"), LAYOUT_SNIPPET).alias("thread_html"),
+    late = F.col("layout") == "unhydrated"
+    issue = lambda where, code, el, n: F.when(where, F.struct(F.lit(code).alias("code"), outer_html("els", F.col(el), n).alias("snippet")))
+    issues = F.array_compact(
+        F.array(
+            issue(late, "unhydrated", "thread", LAYOUT_SNIPPET), issue(F.col("layout") == "view_model", "alternate_layout", "thread", LAYOUT_SNIPPET),
+            issue(~late & F.col("likes_missed"), "likes_selector_miss", "comment", SNIPPET),
+        )
     )
+    return rows.select(*keys, "thread_ord", "layout", F.col("c_text").alias("text"), "likes", "replyCount", key.alias("_key"), "likes_missed", issues.alias("issues"))
 
 
-def extraction_issues(threads: DataFrame, parsed: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """(keys, thread_ord, code, snippet): threads without comment yet, with the other layout, or
-    without any element for likes."""
-    late = with_layout(threads).filter("layout = 'unhydrated'").select(*keys, "thread_ord", F.lit("unhydrated").alias("code"), outer_html("els", F.col("thread"), LAYOUT_SNIPPET).alias("snippet"))
-    codes = F.array_compact(
-        F.array(
-            F.when(F.col("layout") == "view_model", F.struct(F.lit("alternate_layout").alias("code"), F.col("thread_html").alias("snippet"))),
-            F.when(F.col("likes_missed"), F.struct(F.lit("likes_selector_miss").alias("code"), F.col("comment_html").alias("snippet"))),
-        )
-    )
-    return late.unionByName(parsed.select(*keys, "thread_ord", F.inline(codes)))
+def parse_threads(threads: DataFrame, keys: Sequence[str] = ("page_id",), compat: bool = False) -> DataFrame:
+    """(keys, thread_ord, layout, text, likes, replyCount, _key, likes_missed) of every thread that holds a comment
+    element."""
+    return examine_threads(threads, keys, compat).filter("layout <> 'unhydrated'").drop("issues")
+
+
+def extraction_issues(examined: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """(keys, thread_ord, code, snippet) of the issues of examine_threads()."""
+    return examined.select(*keys, "thread_ord", F.inline("issues"))
+
+
+#: The codes of issues.
+CODES = ("unhydrated", "alternate_layout", "likes_selector_miss")
+
+
+def with_issue_counts(examined: DataFrame, seen: Observation) -> DataFrame:
+    """examined as it is; when an action has read it, seen.get has the number of threads and of each code of issue,
+    without another pass over the pages."""
+    has = lambda code: F.exists("issues", lambda i: i["code"] == code)
+    return examined.observe(seen, F.count(F.lit(1)).alias("threads"), *[F.count_if(has(code)).alias(code) for code in CODES])
 
 
 def page_titles(pages: DataFrame, default: str, keys: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:

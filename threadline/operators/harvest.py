@@ -58,6 +58,17 @@ def distinct_count(comments: DataFrame, approximate: bool = False) -> DataFrame:
     return comments.groupBy("run_id").agg((F.approx_count_distinct("_key") if approximate else F.count_distinct("_key")).alias("n"))
 
 
+def key_sketches(comments: DataFrame, precision: int = 12) -> DataFrame:
+    """(run_id, snapshot_seq, sketch): a mergeable sketch of the keys of each batch, of 2^precision bytes at most."""
+    return comments.groupBy("run_id", "snapshot_seq").agg(F.hll_sketch_agg("_key", precision).alias("sketch"))
+
+
+def merged_count(sketches: DataFrame) -> DataFrame:
+    """(run_id, n): the distinct keys of each run by its batches' sketches alone (standard error about 1.04 /
+    2^(precision / 2), 1.6 % at 12); no keys are read again."""
+    return sketches.groupBy("run_id").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 def running_distinct(comments: DataFrame) -> DataFrame:
     """comments with collected: the distinct keys of the run up to each row."""
     run = Window.partitionBy("run_id").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -71,10 +71,13 @@ def run_outcome(has_container: Column, has_marker: Column, stop: Column, n_rows:
     return F.when(cancelled, CANCELLED).when(~has_container, missing).when((stop == "stalled") & (n_rows == 0), NO_COMMENTS).otherwise("complete")
 
 
-def run_state(events: DataFrame) -> DataFrame:
-    """(run_id, running, done, collected, total, status, error, data_seq) by the latest of each run's
-    events(run_id, seq, kind, n, total, message); kind is reset, progress, complete, fail or cancel."""
-    last = events.groupBy("run_id").agg(F.max_by(F.struct("kind", "n", "total", "message", "seq"), "seq").alias("e"))
+def latest_events(events: DataFrame) -> DataFrame:
+    """(run_id, e): the latest of each run's events(run_id, seq, kind, n, total, message)."""
+    return events.groupBy("run_id").agg(F.max_by(F.struct("kind", "n", "total", "message", "seq"), "seq").alias("e"))
+
+
+def state_of(last: DataFrame) -> DataFrame:
+    """What each run shows after its latest event e; kind is reset, progress, complete, fail or cancel."""
     kind = F.col("e.kind")
     status = F.when(kind == "cancel", CANCELLED).when(kind == "fail", FAILED).when(kind == "complete", F.concat(F.lit("Export complete — "), F.format_number("e.n", 0), F.lit(" comments"))).otherwise(F.col("e.message"))
     return last.select(
@@ -83,6 +86,11 @@ def run_state(events: DataFrame) -> DataFrame:
     )
 
 
+def run_state(events: DataFrame) -> DataFrame:
+    """(run_id, running, done, collected, total, status, error, seq) by the latest of each run's events."""
+    return state_of(latest_events(events))
+
+
 def run_supersede(starts: DataFrame) -> DataFrame:
     """starts(run_id, page_id, start_ts) with is_current: the page's latest start (by time, then id)."""
     latest = Window.partitionBy("page_id").orderBy(F.col("start_ts").desc(), F.col("run_id").desc())

@@ -191,10 +191,8 @@ def sink_empty_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sink_quarantine", _with(_TURNS, "SELECT run_id, pos, CASE layout WHEN 'view_model' THEN 'alternate_layout' ELSE layout END AS code, CASE layout WHEN 'unhydrated' THEN '<ytd-comment-thread-renderer><div class=\"skeleton\"><br></div></ytd-comment-thread-renderer>' ELSE left('<ytd-comment-thread-renderer><ytd-comment-view-model><published-time-text><a href=\"/watch?v=x&amp;lc=' || _key || '&amp;t=1#f\">1 day ago</a></published-time-text><yt-attributed-string>' || replace(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), 200) END AS snippet FROM t WHERE layout <> 'classic'"))
 def sink_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = threads(spark, sf_dir)
-    order = placed(rows.select(*KEYS, "thread_ord")).select("run_id", "thread_ord", "pos")
-    issues = E.extraction_issues(rows, E.parse_threads(rows, KEYS), KEYS)
-    return issues.join(order, ["run_id", "thread_ord"]).select("run_id", "pos", "code", F.left("snippet", F.lit(200)).alias("snippet"))
+    rows = placed(E.examine_threads(threads(spark, sf_dir), KEYS))
+    return rows.select("run_id", "pos", F.inline("issues")).withColumn("snippet", F.left("snippet", F.lit(200)))
 
 
 @query("written_exports", _with(_TURNS, f"SELECT {_NAME} || 'json' AS name, count(*) AS comments, sum(likes)::BIGINT AS likes FROM export GROUP BY page_id"))
@@ -373,6 +371,13 @@ def distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.distinct_count(full_scan(spark, sf_dir))
 
 
+@query("distinct_count_approx", ORACLE_SQL["distinct_count"])
+def distinct_count_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By sketches kept for each batch of a run and merged; counts as small as these are met exactly."""
+    sketches = kept(H.key_sketches(full_scan(spark, sf_dir).withColumn("snapshot_seq", F.col("thread_ord") % 3)), "sketches")
+    return H.merged_count(sketches)
+
+
 @query("harvest_added", _with(_TURNS, "SELECT run_id, turn::BIGINT AS snapshot_seq, count(*) FILTER (turn = first) AS added FROM (SELECT *, min(turn) OVER (PARTITION BY run_id, _key) AS first FROM h WHERE turn % 2 = 1) GROUP BY run_id, turn"))
 def harvest_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.harvest_added(ST.parse_batch(fx.live_snapshots(spark, sf_dir)))
@@ -390,8 +395,7 @@ def export_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quality_counts", _with(_TURNS, "SELECT page_id, CASE layout WHEN 'view_model' THEN 'alternate_layout' ELSE layout END AS code, count(*) AS n FROM t WHERE layout <> 'classic' GROUP BY ALL"))
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = threads(spark, sf_dir)
-    return E.extraction_issues(rows, E.parse_threads(rows, KEYS), KEYS).groupBy("page_id", "code").agg(F.count("*").alias("n"))
+    return E.extraction_issues(E.examine_threads(threads(spark, sf_dir), KEYS), KEYS).groupBy("page_id", "code").agg(F.count("*").alias("n"))
 
 
 # ---- runs
@@ -555,6 +559,18 @@ def _event_stream(spark: SparkSession, rows: DataFrame, base: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(f"{base}/in")
 
 
+@query("stream_view", ORACLE_SQL["snapshot_view"])
+def stream_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of all runs, taken from the state of a stream of their events after its second batch."""
+    base = scratch(spark, "stream")
+    events = kept(_state_events(spark, sf_dir), "events")
+    for part in (events.filter("seq % 2 = 1"), events.filter("seq % 2 = 0")):
+        part.write.mode("append").parquet(f"{base}/in")
+        ST.stream_run_state(spark.readStream.schema(events.schema).parquet(f"{base}/in"), f"{base}/checkpoint").awaitTermination()
+    out = S.snapshot_view(ST.view_run_state(spark, f"{base}/checkpoint"), fx.samples(spark, sf_dir))
+    return out.withColumn("eta", F.round("eta", 3))
+
+
 @query("stream_throttle", ORACLE_SQL["throttle_grid"])
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch(spark, "stream")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.extract import find_threads, parse_threads
 from ..operators.harvest import dedup_first_wins, with_arrival
+from ..operators.runs import latest_events, state_of
 from .state import COMMENTS, first_wins, rocks_db
 
 KEYS = ("run_id", "snapshot_seq", "page_id")
@@ -72,6 +73,19 @@ def stream_stall(growth: DataFrame, gap: str = "15 seconds", late: str = "1 minu
     return rows.select("run_id", F.col("w.start").alias("began"), F.col("w.end").alias("last_until"), "grown")
 
 
+def stream_run_state(events: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Keeps the latest event of each run as the state of a stream; view_run_state() reads it, at any time."""
+    return latest_events(events).writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def view_run_state(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """run_state() of what the stream has taken in by its last batch (or by batch_id), from its state store beside the
+    running query."""
+    reader = spark.read.format("statestore")
+    reader = reader if batch_id is None else reader.option("batchId", batch_id)
+    return state_of(reader.load(checkpoint).select("key.run_id", F.col("value.valueWithExtremumOrdering").alias("e")))
+
+
 def collect_stream(result: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
     """Runs an aggregating stream over what is there; in complete mode the last batch is the result."""
 
