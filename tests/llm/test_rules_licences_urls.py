@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,12 +61,36 @@ def test_licences(spark):
     assert scan(docs.filter(F.lit(False))).count() == 0
 
 
-def test_host_verdicts_decide_rows(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    counts = Q.rule_counts(docs).cache()
-    kept = {r.doc_id: r.kept for r in Q.judge(counts).collect()}
-    alone = {r.doc_id: r.kept for r in Q.judge(counts, Q.HostLimits(habit=1e9)).collect()}
-    assert sum(kept[i] != alone[i] for i in kept) > 0 and all(kept[i] for i in alone if alone[i])
+COUNTS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+
+
+def test_hosts_that_differ_by_chance_get_no_verdict(spark):
+    for seed in range(5):
+        draw = random.Random(seed)
+        rows = [(i, f"h{draw.randrange(30)}", 100, 400, 40 * (draw.random() < 0.06), 5, 4 * (draw.random() < 0.05), 100 * (draw.random() < 0.1)) for i in range(1500)]
+        for r in Q.judge(spark.createDataFrame(rows, COUNTS)).collect():
+            assert r.kept == (not r.base_failed and r.n_symbols == 0 and r.n_dup_lines == 0)
+
+
+def test_planted_hosts_among_chance(spark):
+    draw = random.Random(7)
+    share = {"bad": 0.9, "code": 0.4}  # over half of any rule, and the host goes
+    rows = []
+    for i in range(4000):
+        host = draw.choice(("bad", "code")) if i % 10 == 0 else f"h{draw.randrange(40)}"
+        rows.append((i, host, 100, 400, 40 * (draw.random() < share["code"] * (host == "code")), 5, 0, 100 * (draw.random() < (share["bad"] if host == "bad" else 0.05))))
+    kept = {}
+    for r in Q.judge(spark.createDataFrame(rows, COUNTS)).collect():
+        kept.setdefault(r.host, []).append((r.kept, r.base_failed))
+    assert not any(k for k, _ in kept["bad"]) and any(not b for _, b in kept["bad"])
+    assert all(k == (not b) for host, found in kept.items() if host != "bad" for k, b in found)
+
+
+def test_prior_takes_chance_out():
+    assert Q.beta_prior(1, 50, 2500.0, 10, 2.0, 3.0) == (0.2, None) and Q.beta_prior(0, None, None, None, None, 3.0) == (0.0, None)
+    n, rates = 1000, [0.1, 0.3] * 20
+    mean, weight = Q.beta_prior(40, 40 * n, 40.0 * n * n, int(sum(rates) * n), sum((p * n) ** 2 / n for p in rates), 3.0)
+    assert mean == 0.2 and abs(1 / (1 + weight) - 0.01 / 0.16) < 0.01  # variance of the rates over p (1 - p)
 
 
 def test_habits_of_a_host(spark):

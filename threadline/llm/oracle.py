@@ -54,17 +54,20 @@ WITH d AS (
 ), h AS (
   SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS n0, count(*) FILTER (f1) AS n1, count(*) FILTER (f2) AS n2 FROM f GROUP BY host
 ), prior AS (
-  SELECT avg(n0 / n) AS m0, var_pop(n0 / n) AS v0, avg(n1 / n) AS m1, var_pop(n1 / n) AS v1, avg(n2 / n) AS m2, var_pop(n2 / n) AS v2 FROM h
-), s AS (
-  SELECT *, CASE WHEN v0 > 1e-12 THEN least(greatest(m0 * (1 - m0) / v0 - 1, 1), 10000) ELSE 10000 END AS w0,
-         CASE WHEN v1 > 1e-12 THEN least(greatest(m1 * (1 - m1) / v1 - 1, 1), 10000) ELSE 10000 END AS w1,
-         CASE WHEN v2 > 1e-12 THEN least(greatest(m2 * (1 - m2) / v2 - 1, 1), 10000) ELSE 10000 END AS w2
+  SELECT count(*) - 1 AS k, sum(n) AS m, sum(n * n)::DOUBLE AS q, sum(n0) / sum(n) AS m0, sum(n0 * n0 / n) AS y0, sum(n1) / sum(n) AS m1, sum(n1 * n1 / n) AS y1, sum(n2) / sum(n) AS m2, sum(n2 * n2 / n) AS y2 FROM h
+), e AS (
+  SELECT *, m - q / m - k AS room, 3 * sqrt(2 * k) AS chance, CASE WHEN m0 > 0 AND m0 < 1 THEN (y0 - m0 * m0 * m) / (m0 * (1 - m0)) - k END AS e0,
+         CASE WHEN m1 > 0 AND m1 < 1 THEN (y1 - m1 * m1 * m) / (m1 * (1 - m1)) - k END AS e1, CASE WHEN m2 > 0 AND m2 < 1 THEN (y2 - m2 * m2 * m) / (m2 * (1 - m2)) - k END AS e2
   FROM prior
+), s AS (
+  SELECT *, CASE WHEN k > 0 AND room > 0 AND e0 > chance THEN greatest(room / e0 - 1, 1) END AS w0, CASE WHEN k > 0 AND room > 0 AND e1 > chance THEN greatest(room / e1 - 1, 1) END AS w1,
+         CASE WHEN k > 0 AND room > 0 AND e2 > chance THEN greatest(room / e2 - 1, 1) END AS w2
+  FROM e
 ), r AS (
   SELECT host, (n0 + m0 * w0) / (n + w0) AS r0, (n1 + m1 * w1) / (n + w1) AS r1, (n2 + m2 * w2) / (n + w2) AS r2, m1, m2 FROM h, s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR greatest(r0, r1, r2) > 0.5 OR (f1 AND r1 < greatest(1.25 * m1, 0.05)) OR (f2 AND r2 < greatest(1.25 * m2, 0.05))) AS kept
+       NOT (base_failed OR coalesce(greatest(r0, r1, r2) > 0.5, false) OR (f1 AND NOT coalesce(r1 >= greatest(1.25 * m1, 0.05), false)) OR (f2 AND NOT coalesce(r2 >= greatest(1.25 * m2, 0.05), false))) AS kept
 FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 """
 

@@ -59,11 +59,13 @@ class HostLimits:
     """A host whose shrunk failure rate of any rule is over ``reject`` loses all its documents.
     Where a soft rule's shrunk rate is ``habit`` times the mean of all hosts or more, and
     ``least_habit`` at least, failing it is that host's habit (a site about code is full of symbols) and costs nothing; elsewhere
-    documents that fail it go."""
+    documents that fail it go. A rule whose hosts don't differ by more than chance, by ``sure`` standard
+    deviations, gives no verdict on hosts."""
 
     reject: float = 0.5
     habit: float = 1.25
     least_habit: float = 0.05
+    sure: float = 3.0
     symbols_per_word: float = 0.25
     dup_line_share: float = 0.5
 
@@ -71,6 +73,23 @@ class HostLimits:
 RULES = ("base", "symbols", "dup_lines")
 
 
+def beta_prior(hosts: int, rows: int | None, squares: float | None, failed: int | None, spread: float | None, sure: float) -> tuple[float, float | None]:
+    """(mean, weight) of the beta prior of the hosts' rates, by moments weighted with the hosts' rows: squares is the sum
+    of n^2 and spread that of x^2 / n over hosts with x of n rows failing.
+
+    What chance alone makes rates of finite hosts differ is taken out: of the spread around the mean, in units of p (1 -
+    p), hosts - 1 are expected without any difference, with a standard deviation of sqrt(2 (hosts - 1)). Unless it
+    is over that by ``sure`` deviations, hosts don't differ for sure, and the weight is None: no verdicts."""
+    mean = (failed or 0) / rows if rows else 0.0
+    if not 0 < mean < 1 or hosts < 2:
+        return mean, None
+    excess = (spread - failed * failed / rows) / (mean * (1 - mean)) - (hosts - 1)
+    room = rows - squares / rows - (hosts - 1)
+    if room <= 0 or excess <= sure * (2 * (hosts - 1)) ** 0.5:
+        return mean, None
+    return mean, max(room / excess - 1, 1.0)
+
+
 def judge(counts: DataFrame, limits: HostLimits = HostLimits(), salts: int = 32) -> DataFrame:
     """counts with base_failed and kept. counts is read twice, so give a written table.
 
@@ -82,21 +101,21 @@ def judge(counts: DataFrame, limits: HostLimits = HostLimits(), salts: int = 32)
     }
     rows = counts.withColumns({f"f_{r}": c for r, c in failed.items()})
     hosts = written(rows.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(f"f_{r}").alias(f"n_{r}") for r in RULES)), "hosts")
-    rate = lambda r: F.col(f"n_{r}") / F.col("n")
-    prior = hosts.agg(*(f(rate(r)) for r in RULES for f in (F.avg, F.var_pop))).first()
+    n = F.col("n").cast("double")
+    sums = [c for r in RULES for c in (F.sum(f"n_{r}"), F.sum(F.col(f"n_{r}") * F.col(f"n_{r}") / n))]
+    k, total, squares, *sums = hosts.agg(F.count("*"), F.sum("n"), F.sum(n * n), *sums).first()
     shrunk, means = [], {}
     for i, r in enumerate(RULES):
-        mean, var = prior[2 * i] or 0.0, prior[2 * i + 1] or 0.0
-        means[r] = mean
-        weight = min(max(mean * (1 - mean) / var - 1, 1.0), 10_000.0) if var > 1e-12 else 10_000.0
-        shrunk.append(((F.col(f"n_{r}") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))).alias(f"rate_{r}"))
+        means[r], weight = beta_prior(k, total, squares, *sums[2 * i : 2 * i + 2], limits.sure)
+        rate = F.lit(None).cast("double") if weight is None else (F.col(f"n_{r}") + F.lit(means[r] * weight)) / (F.col("n") + F.lit(weight))
+        shrunk.append(rate.alias(f"rate_{r}"))
     verdict = hosts.select("host", *shrunk).select(
         "host", (F.greatest(*(f"rate_{r}" for r in RULES)) > limits.reject).alias("rejected"), *((F.col(f"rate_{r}") >= max(limits.habit * means[r], limits.least_habit)).alias(f"habit_{r}") for r in RULES[1:])
     )
     verdict = verdict.select(F.col("host").alias("of"), "rejected", *(f"habit_{r}" for r in RULES[1:]), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     joined = rows.join(verdict, F.col("host").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("s")), "left")
-    soft = [F.col(f"f_{r}") & ~F.col(f"habit_{r}") for r in RULES[1:]]
+    soft = [F.col(f"f_{r}") & ~F.coalesce(F.col(f"habit_{r}"), F.lit(False)) for r in RULES[1:]]
     kept = ~(F.col("f_base") | F.coalesce(F.col("rejected"), F.lit(False)) | F.coalesce(soft[0] | soft[1], F.lit(False)))
     return joined.select(*counts.columns, F.col("f_base").alias("base_failed"), kept.alias("kept"))
 
