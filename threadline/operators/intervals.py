@@ -23,7 +23,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, tuple]]:
             yield row[0], row[1:]
 
 
-def _emitted(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, most_chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def emitted(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, most_chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -42,7 +42,7 @@ def _folded(rows: DataFrame, fold: Callable[[Iterator[tuple[object, tuple]]], It
 
     out = StructType([rows.schema["page_id"], *StructType.fromDDL(columns)])
     schema = to_arrow_schema(out)
-    return rows.repartition("page_id").sortWithinPartitions("page_id", "at", "rank").mapInArrow(lambda batches: _emitted(fold(_pages(batches)), schema), out)
+    return rows.repartition("page_id").sortWithinPartitions("page_id", "at", "rank").mapInArrow(lambda batches: emitted(fold(_pages(batches)), schema), out)
 
 
 def innermost(intervals: DataFrame, points: DataFrame) -> DataFrame:
