@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,3 +90,28 @@ def test_bounded_memory():
     want = W.load_transducer(PATH)
     for text in ("one two three four", "five six seven eight nine", "one two ten"):
         assert small.encode(text) == want.encode(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 3001, "-" * 5001, " " * 5003 + "x", "ha" * 1501, "\U0001f600" * 900, "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(6000)), "xqzkj" * 700, "日本語のテキスト。" * 300])
+def test_long_runs_of_any_kind(both, text):
+    assert both[0].encode(text) == both[1].encode(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aethinosr▁é-日\U0001f600", min_size=30, max_size=400))
+def test_windows_join_to_the_one_path(both, text):
+    step = W._STEP
+    try:
+        W._STEP = 8
+        ids = np.frombuffer(b"".join(both[0].encode_parts([text])), "<i4").tolist()
+    finally:
+        W._STEP = step
+    assert ids == np.frombuffer(both[0].encode_parts([text])[0], "<i4").tolist()
+
+
+def test_parts_are_cut_where_no_piece_reaches_across(both):
+    part = "日本é-a▁" * 5
+    (cut,) = both[0]._cut([part])
+    assert "".join(cut) == part
+    inside = {p[i : i + 2] for p in both[0].ids for i in range(len(p) - 1)}
+    assert all(a[-1] + b[0] not in inside for a, b in zip(cut, cut[1:]))
