@@ -16,6 +16,8 @@ from ..operators import harvest as H
 from ..operators import profile as P
 from ..operators import render as R
 from ..operators import runs as S
+from ..operators.intervals import inner_text
+from ..operators.malformed import parsed_nodes
 from ..operators.shred import nodes, tokens
 from ..sources import snapshots as SRC
 from ..streaming import harvest as ST
@@ -247,6 +249,24 @@ def shred_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id").join(found, "page_id", "left").select("page_id", *zero)
 
 
+_UNCLOSED = r"""
+q AS (
+  SELECT page_id, string_split(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<![^>]*>', '', 'g'), '<p>')[2:] AS after FROM pages
+),
+b AS (SELECT page_id, list_transform(after, lambda x: regexp_replace(regexp_replace(x, '(?is)</(p|article|body|html|main|div)>.*$|<(div|h[1-6]|ul|ol|nav|footer|header|table|article|section|pre)\b.*$', ''), '<[^>]*>', '', 'g')) AS raw FROM q),
+c AS (SELECT page_id, list_transform(raw, lambda x: length(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))) AS sizes FROM b)
+"""
+
+
+@query("shred_unclosed", _with(_UNCLOSED, "SELECT page_id, len(sizes)::BIGINT AS paragraphs, coalesce(list_sum(sizes), 0)::BIGINT AS inside, coalesce(list_max(sizes), 0)::BIGINT AS longest FROM c"))
+def shred_unclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of pages that leave out end tags: each ends where the next one or another block begins."""
+    found = inner_text(parsed_nodes(pages(spark, sf_dir), attributes=("id",)), F.col("tag") == "p").select("page_id", F.length("content").cast("long").alias("size"))
+    sums = found.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.sum("size").alias("inside"), F.max("size").alias("longest"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("paragraphs", "inside", "longest")]
+    return pages(spark, sf_dir).select("page_id").join(sums, "page_id", "left").select("page_id", *zero)
+
+
 @query("flatten_threads", _with(_TURNS, "SELECT run_id, turn::BIGINT AS snapshot_seq, count(*) AS threads FROM t WHERE turn % 2 = 1 GROUP BY run_id, turn"))
 def flatten_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.find_threads(fx.live_snapshots(spark, sf_dir), KEYS, outermost=True).groupBy("run_id", "snapshot_seq").agg(F.count("*").alias("threads"))
