@@ -128,6 +128,45 @@ USUAL = [
 ]
 
 
+#: Near relatives, headers in comments and expressions, and texts that name no licence.
+RELATIVES = [
+    ("Boost Software License - Version 1.0 - August 17th, 2003", "BSL-1.0"), ("// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+    ("Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\")", "BSL-1.0"),
+    ("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999", "LGPL-2.1"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    (" * modify it under the terms of the GNU Lesser General Public License as\n * published by the Free Software Foundation, either version 3 of the\n * License, or (at your option) any later version.", "LGPL-3.0"),
+    ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007", "AGPL-3.0"),
+    ("it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.", "AGPL-3.0"),
+    ("BSD 2-Clause License\n\nCopyright (c) 2020", "BSD-2-Clause"), ("BSD 3-Clause License", "BSD-3-Clause"), ("BSD Zero Clause License", "0BSD"),
+    ("// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.", "BSD-3-Clause"),
+    ("Licensed under CC BY 3.0", "CC-BY-3.0"), ("Licensed under CC BY-SA 3.0", "CC-BY-SA-3.0"), ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("Creative Commons Attribution-NoDerivatives 4.0 International", "CC-BY-ND-4.0"),
+    ("Creative Commons Attribution-ShareAlike 4.0 International", "CC-BY-SA-4.0"), ("Creative Commons Attribution 4.0 International", "CC-BY-4.0"), ("Creative Commons Legal Code\n\nCC0 1.0 Universal", "CC0-1.0"),
+    ("# Licensed to the Apache Software Foundation (ASF) under one or more\n# contributor license agreements.  See the NOTICE file distributed with\n# this work for additional information regarding copyright ownership.\n# The ASF licenses this file to You under the Apache License, Version 2.0\n# (the \"License\"); you may not use this file except in compliance with\n# the License.", "Apache-2.0"),
+    ("# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License version 2 as\n# published by the Free Software Foundation.", "GPL-2.0"),
+    ("# it under the terms of the GNU General Public License version 2 only, as\n# published by the Free Software Foundation.", "GPL-2.0"),
+    ("it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "GPL-3.0"),
+    ("The Apache Software License, Version 1.1", "Apache-1.1"), ("Mozilla Public License Version 1.1", "MPL-1.1"), ("Mozilla Public License Version 2.0\n==================================", "MPL-2.0"),
+    ("Eclipse Public License - v 1.0", "EPL-1.0"), ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "EPL-2.0"), ("Licensed under the EUPL, Version 1.2", "EUPL-1.2"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"), ("The Artistic License 2.0", "Artistic-2.0"), ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.", "Zlib"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"", "0BSD"),
+    ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0-only WITH Linux-syscall-note"), ("SPDX-License-Identifier: MIT OR GPL-3.0", "MIT OR GPL-3.0"),
+    ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0"), ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "(MIT OR Apache-2.0) AND BSD-3-Clause"), ("SPDX-License-Identifier: LGPL-2.1+", "LGPL-2.1+"),
+    ("SPDX-License-Identifier: NONE-OF-THE-ABOVE", None), ("SPDX-License-Identifier: MIT OR Whatever-1.0", None), ("SPDX-License-Identifier: nothing\nSPDX-License-Identifier: Zlib", "Zlib"), ("SPDX-License-Identifier:", None),
+    ("The driver's license was issued in 2020 by the general public office.", None), ("GNU Library General Public License, version 2", None), ("Copyright 2020 by the authors, all rights reserved", None),
+    ("Licensed under the Apache License", None), ("Licensed under CC BY 2.5", None), ("GNU GENERAL PUBLIC LICENSE Version 1, February 1989", None), ("The museum keeps public domain prints and copyright records", None), ("Licensed under a licence of version 2.0 that nobody reads", None),
+]
+
+
+def test_relatives_expressions_and_no_licences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = spark.createDataFrame([(10_000 + i, t) for i, (t, _) in enumerate(RELATIVES)], "doc_id long, text string")
+    for rows in (texts, docs.union(texts)):
+        found = {r.doc_id: r.licence for r in L.scan_licences(rows, F.concat(F.lit("r/"), F.col("doc_id")), F.lit(False)).filter("doc_id >= 10000").collect()}
+        got = [(t, found[10_000 + i], want) for i, (t, want) in enumerate(RELATIVES)]
+        assert [x for x in got if x[1] is not None and x[1] != x[2]] == []  # no wrong licence
+        assert sum(x[1] == x[2] for x in got) >= 0.95 * len(got), [x for x in got if x[1] != x[2]]
+
+
 def test_usual_licence_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     usual = spark.createDataFrame([(10_000 + i, t) for i, (t, _) in enumerate(USUAL)], "doc_id long, text string")

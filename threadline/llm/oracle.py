@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .license_scan import HINT, SPDX, TEMPLATES, longest
+from collections.abc import Iterable
+
+from .license_scan import HINT, IN_BRACKETS, MARKS, NO_NAME, SPDX, SPDX_IDS, SUFFIX, TEMPLATES, longest
 
 OP1_SQL = r"""
 WITH d AS (
@@ -73,6 +75,12 @@ FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate((name, text) for name, texts in TEMPLATES.items() for text in texts))
 
+
+
+def _listed(values: Iterable[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT tid, name, regexp_extract_all(text, '[a-z0-9]+(?:\.[0-9]+)*') AS terms FROM (VALUES __TEMPLATES__) AS v(tid, name, text)
@@ -96,7 +104,8 @@ df AS (SELECT term, count(o.id) AS df FROM vocabulary LEFT JOIN (SELECT DISTINCT
 idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, total),
 windows AS (
   SELECT id, tid, s, w[s : s + len(terms) - 1] AS win
-  FROM (SELECT id, tid, own, w, terms, unnest(range(1, len(own) + 1)) AS s FROM ln, t) WHERE s = 1 OR own[s] = terms[1]
+  FROM (SELECT id, tid, own, w, terms, unnest(range(1, len(own) + 1)) AS s FROM ln, t)
+  WHERE (s = 1 OR own[s] = terms[1]) AND list_sort(list_distinct(list_filter(w[s : s + len(terms) - 1], lambda x: x IN (__MARKS__)))) = list_sort(list_distinct(list_filter(terms, lambda x: x IN (__MARKS__))))
 ),
 wt AS (SELECT id, tid, s, term, count(*) AS tf FROM (SELECT id, tid, s, unnest(win) AS term FROM windows) GROUP BY ALL),
 lw AS (SELECT id, tid, s, term, tf * coalesce(idf, (SELECT avg(idf) FROM idf)) AS w FROM wt LEFT JOIN idf USING (term)),
@@ -107,7 +116,10 @@ scored AS (
   GROUP BY id, tid, lw.s
 ), own AS (
   SELECT row, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, coalesce(spdx, c.licence) AS licence, CASE WHEN spdx IS NOT NULL THEN 1.0 ELSE c.score END AS score
-  FROM (SELECT *, nullif(regexp_extract(text, '__SPDX__', 1), '') AS spdx FROM d) LEFT JOIN (
+  FROM (
+    SELECT *, regexp_replace(list_filter(regexp_extract_all(text, '__SPDX__', 1), lambda e: len(list_filter(string_split(regexp_replace(e, '__NO_NAME__', ' ', 'g'), ' '),
+      lambda x: lower(regexp_replace(x, '__SUFFIX__', '')) NOT IN ('', __SPDX_IDS__))) = 0)[1], '__IN_BRACKETS__', '\1') AS spdx FROM d
+  ) LEFT JOIN (
     SELECT row, first(name ORDER BY score DESC, name) AS licence, max(score) AS score FROM scored JOIN ln USING (id) WHERE score >= 0.6 GROUP BY row
   ) c USING (row)
 ), files AS (
@@ -119,7 +131,7 @@ scored AS (
 SELECT doc_id, path, coalesce(own.licence, near.licence) AS licence, coalesce(own.score, near.score) AS score,
        CASE WHEN own.licence IS NOT NULL THEN 'header' ELSE folder END AS origin
 FROM own LEFT JOIN near USING (row)
-""".replace("__TEMPLATES__", _TEMPLATE_ROWS).replace("__HINT__", HINT).replace("__SPDX__", SPDX).replace("__REACH__", str(longest(TEMPLATES)))
+""".replace("__TEMPLATES__", _TEMPLATE_ROWS).replace("__HINT__", HINT).replace("__SPDX__", SPDX).replace("__NO_NAME__", NO_NAME).replace("__SUFFIX__", SUFFIX).replace("__IN_BRACKETS__", IN_BRACKETS).replace("__MARKS__", _listed(MARKS)).replace("__SPDX_IDS__", _listed(x.lower() for x in SPDX_IDS)).replace("__REACH__", str(longest(TEMPLATES)))
 
 OP5_SQL = r"""
 WITH p AS (
