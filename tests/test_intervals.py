@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadline.operators import intervals as I
 from threadline.operators import profile as P
@@ -91,3 +92,25 @@ def test_throttle_is_armed_by_the_first_change(spark, batch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == plain_throttle(rows, 500) and ("g", 500, 1) in got and ("g", 1000, 3) in got
+
+
+def test_markup_of_elements(spark):
+    html = '<body><div id="d"><p>a &amp; b<br>c</p><span>d</span></div><p>e</p></body>'
+    pages = spark.createDataFrame([(1, html), (2, "<p>" + "x" * 5000 + "</p>"), (3, None)], "page_id long, html string")
+    rows = nodes(pages)
+    what = F.when(F.col("tag") == "br", "br").otherwise("other")
+    wanted = rows.filter("kind in ('open', 'void')").select("page_id", what.alias("what"), F.col("ord").alias("place"), "ord", "end", F.lit(20).alias("most"))
+    got = {(r.page_id, r.place): r.markup for r in I.outer_markup(rows, wanted.unionAll(wanted)).collect()}
+    assert I.outer_markup(rows, wanted.unionAll(wanted)).count() == 2 * wanted.count() == 2 * len(got)
+    assert sorted(got.values()) == sorted([html[:20], '<div id="d"><p>a &am', "<p>a &amp; b<br>c</p", "<br>", "<span>d</span>", "<p>e</p>", "<p>" + "x" * 17])
+    assert I.outer_markup(rows, wanted.limit(0)).count() == 0
+
+
+def test_markup_samples_of_a_page(spark):
+    post = '<div class="c"><a href="/u/">u</a><time datetime="x">1d</time><button aria-label="Like it">o</button><button>View 2 replies</button></div>'
+    html = f'<main><div id="list">{post * 4}</div></main>'
+    rows = nodes(spark.createDataFrame([(1, html, "z"), (2, "<p>nothing</p>", "z")], "page_id long, html string, what string"))
+    got = {(r.page_id, r.what, r.place): r.markup for r in P.markup_samples(rows).collect()}
+    want = {(1, "block", 0): post, (1, "container", 0): f'<div id="list">{post * 4}</div>'[:1000], (1, "load_more", 0): "<button>View 2 replies</button>"}
+    want |= {(1, "link", i): '<a href="/u/">u</a>' for i in range(3)} | {(1, "like", i): '<button aria-label="Like it">o</button>' for i in range(4)} | {(1, "reply", i): "<button>View 2 replies</button>" for i in range(3)}
+    assert got == want

@@ -98,3 +98,31 @@ def inner_text(nodes: DataFrame, where: Column) -> DataFrame:
         yield from page_rows(page, found, texts)
 
     return _folded(rows, fold, "ord long, end long, tag string, content string")
+
+
+def outer_markup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(page_id, what, place, markup) for every row of wanted(page_id, what, place, ord, end, most): the first ``most``
+    characters of the element's own tags and all inside, as the page has them. A task holds that much of each open element."""
+    none = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
+    rows = wanted.select("page_id", F.col("ord").alias("at"), F.lit(0).alias("rank"), "end", "what", F.col("place").cast("long").alias("place"), F.col("most").cast("long").alias("most"), *none(("raw", "string")))
+    rows = rows.unionAll(nodes.select("page_id", F.col("ord").alias("at"), F.lit(1).alias("rank"), "end", *none(("what", "string"), ("place", "long"), ("most", "long")), "raw"))
+
+    def fold(rows: Iterator[tuple[object, tuple]]) -> Iterator[tuple]:
+        page, open_ = None, []
+        for page_id, (at, rank, end, what, place, most, raw) in rows:
+            if page_id != page:
+                page, open_ = page_id, []
+            if rank == 0:
+                open_.append((end, what, place, most, []))
+                continue
+            going = []
+            for one in open_:
+                end, what, place, most, held = one
+                held.append(raw[:most])
+                if at >= end or sum(map(len, held)) >= most:
+                    yield page_id, what, place, "".join(held)[:most]
+                else:
+                    going.append(one)
+            open_ = going
+
+    return _folded(rows, fold, "what string, place long, markup string")

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import js_trim, slice_n
 from ..functions.urls import is_profile
-from .intervals import inner_text, innermost
+from .intervals import inner_text, innermost, outer_markup
 
 #: What triggers and replies say, and how much of everything is shown.
 LOAD_MORE = r"(?i)load\s*more\s*comments|view\s*(all\s*)?\d|more\s*comments"
 REPLY = r"(?i)repl(y|ies)|view\s*\d+\s*repl"
 LINKS, LIKES, LABELS, REPLIES, STYLE = 3, 4, 20, 3, 120
 NONE = "(none)"
+#: How many characters of an element's markup are shown.
+MARKUP = {"block": 2500, "container": 1000, "load_more": 600, "link": 200, "like": 300, "reply": 300}
 
 
 def is_time() -> Column:
@@ -103,14 +105,19 @@ def _is_button() -> Column:
     return (F.col("tag") == "button") | F.coalesce(F.col("attrs.role") == "button", F.lit(False))
 
 
-def load_more(nodes: DataFrame, tightest: bool = True) -> DataFrame:
-    """(page_id, load_more): the tag of the first control whose text asks for more. The first hit is often a
-    wrapper around all; tightest takes the first that holds no other hit."""
+def asking_for_more(nodes: DataFrame, tightest: bool = True) -> DataFrame:
+    """(page_id, ord, end, tag) of the controls whose text asks for more. The first hit is often a
+    wrapper around all; tightest takes those that hold no other hit."""
     rows = with_content(nodes, _is_button() | F.col("tag").isin("span", "div")).filter(F.col("content").rlike(LOAD_MORE))
     if tightest:
         following = F.lead("ord").over(Window.partitionBy("page_id").orderBy("ord"))
         rows = rows.withColumn("next", following).filter("next is null or next > end")
-    return rows.groupBy("page_id").agg(F.min_by("tag", "ord").alias("load_more"))
+    return rows.select("page_id", "ord", "end", "tag")
+
+
+def load_more(nodes: DataFrame, tightest: bool = True) -> DataFrame:
+    """(page_id, load_more): the tag of the first control of asking_for_more."""
+    return asking_for_more(nodes, tightest).groupBy("page_id").agg(F.min_by("tag", "ord").alias("load_more"))
 
 
 def reply_buttons(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -118,6 +125,24 @@ def reply_buttons(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return rows.groupBy("page_id").agg(_first(REPLIES, F.lit(True), F.left("content", F.lit(80))).alias("reply_buttons"))
 
 
+def markup_samples(nodes: DataFrame) -> DataFrame:
+    """(page_id, what, place, markup): how the page writes its block, container, trigger, and first links, likes and
+    replies, without comments and scripts. What a page doesn't have gives no row. Give written nodes: they are read for every part."""
+    found = containers(nodes)
+    root = _in_root(nodes, found).drop("container")
+    by_ord = Window.partitionBy("page_id").orderBy("ord")
+
+    def first(what: str, rows: DataFrame, n: int) -> DataFrame:
+        ranked = rows.select("page_id", "ord", "end", F.row_number().over(by_ord).alias("k")).filter(F.col("k") <= n)
+        return ranked.select("page_id", F.lit(what).alias("what"), (F.col("k") - 1).alias("place"), "ord", "end", F.lit(MARKUP[what]).alias("most"))
+
+    one = lambda what: first(what, found.filter(F.col(what).isNotNull()).select("page_id", f"{what}.ord", f"{what}.end"), 1)
+    labelled = root.filter(F.coalesce(F.col("attrs.aria-label").rlike("(?i)like"), F.lit(False)))
+    replies = with_content(root, _is_button()).filter(F.col("content").rlike(REPLY))
+    wanted = one("block").unionAll(one("container")).unionAll(first("load_more", asking_for_more(nodes), 1)).unionAll(first("link", root.filter(is_profile_link()), LINKS))
+    return outer_markup(nodes, wanted.unionAll(first("like", labelled, LIKES)).unionAll(first("reply", replies, REPLIES)))
+
+
 def page_profile(nodes: DataFrame) -> DataFrame:
     """One row per page with nodes. Give written nodes: they are read for every part."""
     found = containers(nodes)

@@ -737,6 +737,31 @@ def ig_load_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.load_more(rows).join(P.load_more(rows, tightest=False).withColumnRenamed("load_more", "widest"), "page_id")
 
 
+_MARKUP = """
+parts AS (
+  SELECT conv_id AS page_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, turn % 4 <> 3 AS linked, '<a href="/user' || conv_id || '_' || turn || '/">user</a>' AS link,
+         '<button aria-label="Like ' || turn || '"><b></button>' AS liked, '<button>View ' || (turn + 1) || ' replies</button>' AS reply,
+         '<span>' || replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</span><a href="/p/X/y"><time datetime="2024-01-01">1d</time></a>' AS body
+  FROM conversations
+),
+blocks AS (SELECT *, '<div class="c">' || CASE WHEN linked THEN link ELSE '' END || body || liked || reply || '</div>' AS part FROM parts),
+lists AS (SELECT page_id, count(*) AS n, arg_min(part, k) AS part, arg_min(linked, k) AS linked, '<div id="list" aria-label="Comments" style="overflow:auto">' || string_agg(part, chr(10) ORDER BY k) || '</div>' AS list FROM blocks GROUP BY page_id)
+"""
+_MARKUP_ROWS = """
+SELECT page_id, 'block' AS what, 0::BIGINT AS place, left(CASE WHEN linked THEN part ELSE list END, 2500) AS markup FROM lists WHERE linked OR n > 1
+UNION ALL SELECT page_id, 'container', 0, left(list, 1000) FROM lists WHERE n >= 3
+UNION ALL SELECT page_id, 'load_more', 0, reply FROM parts WHERE k = 0
+UNION ALL SELECT page_id, 'link', place, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS place FROM parts WHERE linked) WHERE place < 3
+UNION ALL SELECT page_id, 'like', k, liked FROM parts WHERE k < 4
+UNION ALL SELECT page_id, 'reply', k, reply FROM parts WHERE k < 3
+"""
+
+
+@query("ig_markup", _with(_MARKUP, _MARKUP_ROWS))
+def ig_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.markup_samples(_post_nodes(spark, sf_dir))
+
+
 @query("ig_profile_links", _with(_POSTS, "SELECT page_id, count(*) FILTER (linked) AS profile_links, coalesce(string_agg('/user' || page_id || '_' || turn || '/', ',' ORDER BY turn) FILTER (linked AND k <= 3), '') AS sample FROM (SELECT *, sum(linked::INT) OVER (PARTITION BY page_id ORDER BY turn) AS k FROM g) GROUP BY page_id"))
 def ig_profile_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _post_nodes(spark, sf_dir)
