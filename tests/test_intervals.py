@@ -114,3 +114,13 @@ def test_markup_samples_of_a_page(spark):
     want = {(1, "block", 0): post, (1, "container", 0): f'<div id="list">{post * 4}</div>'[:1000], (1, "load_more", 0): "<button>View 2 replies</button>"}
     want |= {(1, "link", i): '<a href="/u/">u</a>' for i in range(3)} | {(1, "like", i): '<button aria-label="Like it">o</button>' for i in range(4)} | {(1, "reply", i): "<button>View 2 replies</button>" for i in range(3)}
     assert got == want
+
+
+def test_pages_are_dealt_anew_over_parts_that_lie_by_page(spark):
+    """Parts that lie by page_id may be coalesced or joined in other ways at run time, so the fold's own shuffle has to stay."""
+    rows = spark.range(50).select((F.col("id") % 5).alias("page_id"), F.col("id").alias("ord"), (F.col("id") + 40).alias("end"))
+    spans = rows.groupBy("page_id", "ord").agg(F.max("end").alias("end")).groupBy("page_id").agg(F.collect_list(F.struct("ord", "end")).alias("x")).select("page_id", F.inline("x"))
+    points = rows.groupBy("page_id").agg(F.max("ord").alias("at")).withColumn("until", F.col("at"))
+    found = I.innermost(spans, points)
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.page_id, r.at, r.ord) for r in found.collect()) == [(p, 45 + p, 40 + p) for p in range(5)]
