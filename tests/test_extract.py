@@ -1,5 +1,7 @@
 """Shredding and extraction on small pages."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,13 @@ def test_empty_tables(spark):
     none = page(spark, "x").filter(F.lit(False))
     assert E.parse_threads(E.find_threads(none)).count() == 0
     assert E.page_titles(none, "none").count() == 0
+
+
+def test_quarantined_snippets_end_with_short_texts(spark, matches_sql, tmp_path):
+    from threadline.plans.queries import ORACLE_SQL, QUERIES
+
+    texts = ["Hi.", "", None, "a < b & c\nd", "x" * 500, "y" * 29, "é" * 30]
+    rows = [(c, turn, "user", text) for c, text in enumerate(texts) for turn in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/written")
+    os.rename(next(iter(tmp_path.glob("written/*.parquet"))), tmp_path / "conversations.parquet")
+    assert matches_sql(QUERIES["sink_quarantine"], ORACLE_SQL["sink_quarantine"], str(tmp_path)) == 14
