@@ -130,3 +130,12 @@ def test_written_exports(spark, tmp_path):
     assert json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(str(tmp_path / "out")).collect()))[1]["text"] == "ho"
     SRC.write_comments(base.select("run_id", *H.EXPORTED), str(tmp_path / "bulk"))
     assert spark.read.json(str(tmp_path / "bulk")).count() == 2
+
+
+def test_run_outcome_deals_events_once(spark, sf_dir):
+    """One shuffle, and no windows of other keys; nothing is written and joined again."""
+    from threadline.plans.queries import QUERIES
+
+    plan = QUERIES["run_outcome"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert "island" not in plan

@@ -39,13 +39,11 @@ def growth_flag(polls: DataFrame) -> DataFrame:
 
 
 def stall_streak(polls: DataFrame) -> DataFrame:
-    """polls with streak: polls in a row without growth, 0 at growth and at the baseline."""
-    rows = growth_flag(polls)
-    rows = rows.withColumn("island", F.sum(F.col("grew").cast("int")).over(_run("poll_seq")))
-    base = F.row_number().over(_run("poll_seq")) == 1
-    rows = rows.withColumn("still", (~F.col("grew") & ~base).cast("long"))
-    streak = F.sum("still").over(Window.partitionBy("run_id", "island").orderBy("poll_seq"))
-    return rows.withColumn("streak", streak).drop("island", "still")
+    """polls with streak: polls in a row without growth, 0 at growth and at the baseline. A poll's place less that of the
+    latest growth, so that all windows share one sort."""
+    rows = growth_flag(polls).withColumn("place", F.row_number().over(_run("poll_seq")).cast("long"))
+    grown = F.max(F.when(F.col("grew") | (F.col("place") == 1), F.col("place"))).over(_run("poll_seq").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("streak", F.col("place") - grown).drop("place")
 
 
 def poll_reasons(polls: DataFrame) -> DataFrame:
@@ -58,10 +56,11 @@ def poll_reasons(polls: DataFrame) -> DataFrame:
     return stall_streak(polls).withColumn("reason", reason)
 
 
-def stop_reason(polls: DataFrame) -> DataFrame:
-    """(run_id, stop, stop_seq): the first reason of each run, null for one that goes on."""
+def stop_reason(polls: DataFrame, *shown: str) -> DataFrame:
+    """(run_id, stop, stop_seq): the first reason of each run, null for one that goes on; and the columns ``shown``
+    of that poll, without a join."""
     hit = F.when(F.col("reason").isNotNull(), F.col("poll_seq"))
-    return poll_reasons(polls).groupBy("run_id").agg(F.min_by("reason", hit).alias("stop"), F.min(hit).alias("stop_seq"))
+    return poll_reasons(polls).groupBy("run_id").agg(F.min_by("reason", hit).alias("stop"), F.min(hit).alias("stop_seq"), *[F.min_by(c, hit).alias(c) for c in shown])
 
 
 def run_outcome(has_container: Column, has_marker: Column, stop: Column, n_rows: Column, cancelled: Column) -> Column:
