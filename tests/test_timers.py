@@ -50,3 +50,15 @@ def test_entry_without_llm(monkeypatch):
     assert len(alone.queries()) > 60 and not any(n.startswith("op") and n[2].isdigit() for n in alone.queries())
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_calls_serve_many_runs(spark, tmp_path):
+    """Runs that share a bucket keep their own timers, and the number of states doesn't grow with the runs."""
+    at = lambda ms, run: (run, T0 + dt.timedelta(milliseconds=ms), ms, ms)
+    runs = [None, *(f"r{i}" for i in range(40))]
+    batches = [[at(i, r) for i, r in enumerate(runs)], [at(700 + i, r) for i, r in enumerate(runs[::2])], [at(10_000_000, "x")], [at(20_000_000, "x")]]
+    result = TM.throttle_exact(arriving(spark, tmp_path / "in", batches, "run_id string, ts timestamp, seq long, n long"), buckets=3)
+    rows = [(r.run_id, r.at_ms - MS, r.n) for r in gathered(result, tmp_path, "shared") if r.run_id != "x"]
+    want = [(r, i + 500, i) for i, r in enumerate(runs)] + [(r, 1200 + i, 700 + i) for i, r in enumerate(runs[::2])]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+    assert spark.read.format("statestore").load(str(tmp_path / "shared")).count() <= 3

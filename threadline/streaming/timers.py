@@ -1,76 +1,95 @@
 """Stateful streams with timers of their own: the exact throttle and stall rules of a run.
 
-State is a few numbers per run. Timers run on event time, so they fire once the watermark has
-passed them, in the same way for a replayed stream."""
+State is a few numbers per run. Runs are dealt out over buckets, and a call serves all runs of a bucket: most of the
+time goes into calls, whose number is so bounded for any number of runs. A batch writes the state of the buckets
+that it meets anew; with very many runs take more of them. Timers run on event time, so they fire once the
+watermark has passed them, in the same way for a replayed stream."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.runs import MAX_STALLS
 
-THROTTLE_MS, STALL_MS = 500, 15_000
+THROTTLE_MS, STALL_MS, BUCKETS = 500, 15_000, 1024
 
 
-def _millis(ts: pd.Series) -> list[int]:
-    return [int(t.value // 1_000_000) for t in ts]
+def _changes(frames: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """(run_id, milliseconds, the first of columns) of the rows of frames, in the order of time and then of columns."""
+    rows = pd.concat(list(frames))
+    rows = rows.sort_values(["ts", *columns]) if len(rows) > 1 else rows
+    return zip(rows["run_id"].tolist(), rows["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64).tolist(), rows[columns[-1] if columns else "run_id"].tolist(), strict=True)
 
 
-def throttle_exact(samples: DataFrame, width_ms: int = THROTTLE_MS, late: str = "1 minute") -> DataFrame:
+def _kept(state: GroupState, runs: dict, due: int) -> None:
+    """Writes runs(run_id: two numbers) as the state of a bucket, with a timer at the time ``due``."""
+    if runs:
+        first, second = zip(*runs.values(), strict=True)
+        state.update((list(runs), list(first), list(second)))
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+
+
+def _runs(state: GroupState) -> dict:
+    runs, first, second = state.get if state.exists else ((), (), ())
+    return dict(zip(runs, zip(first, second, strict=True), strict=True))
+
+
+def _by_bucket(rows: DataFrame, late: str, buckets: int):
+    return rows.withWatermark("ts", late).withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")).groupBy("bucket")
+
+
+def throttle_exact(samples: DataFrame, width_ms: int = THROTTLE_MS, late: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """(run_id, at_ms, n) of samples(run_id, ts, seq, n): the first change arms a timer, and when it
     fires the latest count is told; changes meanwhile only renew that count."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        armed, last = state.get if state.exists else (-1, 0)
-        out: list[tuple[int, int]] = []
-        if state.hasTimedOut:
-            out.append((armed + width_ms, last))
-            armed = -1
-        else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-            for at, n in zip(_millis(rows["ts"]), rows["n"].tolist(), strict=True):
-                if armed >= 0 and at >= armed + width_ms:
-                    out.append((armed + width_ms, last))
-                    armed = -1
-                if armed < 0:
+        runs, met, told = _runs(state), set(), []
+        if not state.hasTimedOut:
+            for run, at, n in _changes(frames, "seq", "n"):
+                armed, last = runs.get(run, (at, n))
+                if at >= armed + width_ms:
+                    told.append((run, armed + width_ms, last))
                     armed = at
-                last = n
-        if armed < 0:
-            state.remove()
-        else:
-            state.update((armed, last))
-            state.setTimeoutTimestamp(max(armed + width_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"run_id": key[0], "at_ms": [a for a, _ in out], "n": [n for _, n in out]})
+                runs[run] = armed, n
+                met.add(run)
+        now = state.getCurrentWatermarkMs()
+        for run in [r for r, (armed, _) in runs.items() if armed + width_ms < now and r not in met]:
+            armed, last = runs.pop(run)
+            told.append((run, armed + width_ms, last))
+        _kept(state, runs, min((armed for armed, _ in runs.values()), default=0) + width_ms)
+        if told:
+            yield pd.DataFrame(told, columns=["run_id", "at_ms", "n"])
 
-    groups = samples.withWatermark("ts", late).groupBy("run_id")
-    return groups.applyInPandasWithState(step, "run_id string, at_ms long, n long", "armed long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _by_bucket(samples, late, buckets).applyInPandasWithState(step, "run_id string, at_ms long, n long", "runs array<string>, armed array<long>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stall_exact(growth: DataFrame, gap_ms: int = STALL_MS, most: int = MAX_STALLS, late: str = "1 minute") -> DataFrame:
+def stall_exact(growth: DataFrame, gap_ms: int = STALL_MS, most: int = MAX_STALLS, late: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """(run_id, stalled_at_ms) of growth(run_id, ts): a gap without growth counts one stall, growth
     sets the count back, and the run ends when it reaches ``most``."""
+    width = most * gap_ms
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, stalls = state.get if state.exists else (-1, 0)
-        ended: list[int] = []
-        if state.hasTimedOut:
-            stalls = min(most, max(stalls + 1, (state.getCurrentWatermarkMs() - last) // gap_ms))
-        else:
-            for at in sorted(_millis(pd.concat(list(frames))["ts"])):
-                if last >= 0 and at - last >= most * gap_ms:
-                    ended.append(last + most * gap_ms)
-                last, stalls = max(last, at), 0
-        if stalls >= most:
-            ended.append(last + most * gap_ms)
-            state.remove()
-        else:
-            state.update((last, stalls))
-            state.setTimeoutTimestamp(max(last + (stalls + 1) * gap_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"run_id": key[0], "stalled_at_ms": ended})
-
-    groups = growth.withWatermark("ts", late).groupBy("run_id")
-    return groups.applyInPandasWithState(step, "run_id string, stalled_at_ms long", "last long, stalls int", "append", GroupStateTimeout.EventTimeTimeout)
+        runs, met, ended = _runs(state), set(), []
+        if not state.hasTimedOut:
+            for run, at, _ in _changes(frames):
+                last, grown = runs.get(run, (at, 0))
+                if at - last >= width:
+                    ended.append((run, last + width))
+                runs[run] = max(last, at), grown + 1
+                met.add(run)
+        now = state.getCurrentWatermarkMs()
+        for run in [r for r, (last, _) in runs.items() if last + width < now and r not in met]:
+            ended.append((run, runs.pop(run)[0] + width))
+        _kept(state, runs, min((last for last, _ in runs.values()), default=0) + width)
+        if ended:
+            yield pd.DataFrame(ended, columns=["run_id", "stalled_at_ms"])
+
+    return _by_bucket(growth, late, buckets).applyInPandasWithState(step, "run_id string, stalled_at_ms long", "runs array<string>, last array<long>, grown array<long>", "append", GroupStateTimeout.EventTimeTimeout)
