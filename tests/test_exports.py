@@ -1,5 +1,7 @@
 """Exports of many files are, end to end, the documents of one row each."""
 
+import zipfile
+
 from pyspark.sql import functions as F
 
 from threadline.operators import render as R
@@ -34,3 +36,28 @@ def test_lines_of_no_and_of_single_comments(spark):
     rows = comments(spark, 1)
     assert R.export_lines(rows.limit(0), "json").collect() == []
     assert [r.value for r in R.export_lines(rows, "json").collect()] == [r.body for r in R.fmt_json(rows).collect()]
+
+
+def test_many_names_make_few_files(spark, tmp_path):
+    """The number of files follows the size of the exports, not the number of names; left-over packages are not read."""
+    rows = spark.range(4000).select(F.concat(F.lit("r"), F.col("id") % 2000).alias("run_id"), F.col("id").alias("arrival_seq"), F.concat(F.lit("é\n"), "id").alias("value"))
+    titles = rows.select("run_id").distinct().withColumn("title", F.concat(F.lit("Ünï "), "run_id"))
+    path = tmp_path / "exports"
+    SRC.write_export_lines(rows, titles, "txt", str(path), most_names=900)
+    files = [p for p in path.rglob("*") if p.is_file() and p.suffix != ".crc"]
+    assert len(files) < 100
+    packages = [p for p in files if p.suffix == ".zip"]
+    assert len(packages) >= 3 and sum(len(zipfile.ZipFile(p).namelist()) for p in packages) == 2000
+    (packages[0].parent / "exports-00000-00000-failed.zip").write_bytes(packages[0].read_bytes())  # of a task that was run again
+    got = {r.name: r.value for r in SRC.read_exports(spark, str(path)).collect()}
+    assert got == {f"Ünï-r{i}-comments.txt": f"é\n{i}\né\n{i + 2000}\n" for i in range(2000)}
+    SRC.write_export_lines(rows.limit(0), titles, "txt", str(tmp_path / "none"))
+    assert SRC.read_exports(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_a_long_document_lies_in_several_packages(spark, tmp_path):
+    rows = spark.range(500).select(F.lit("r").alias("run_id"), F.col("id").alias("arrival_seq"), F.concat(F.col("id"), F.lit("x" * 100)).alias("value"))
+    titles = spark.createDataFrame([("r", "T")], "run_id string, title string")
+    SRC.write_export_lines(rows, titles, "txt", str(tmp_path / "e"), most=10_000)
+    parts = SRC.read_exports(spark, str(tmp_path / "e")).orderBy("part").collect()
+    assert len(parts) >= 5 and "".join(p.value for p in parts) == "".join(f"{i}{'x' * 100}\n" for i in range(500))

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +26,7 @@ RUN_EVENTS = T.StructType([
 ])
 DEFAULT_LIMIT = 500
 FORMATS = ("txt", "json")
+_PACKAGES = "part long, package string"
 
 
 def read_snapshots(spark: SparkSession, path: str, family: str | None = None) -> DataFrame:
@@ -51,18 +59,93 @@ def write_exports(exports: DataFrame, path: str) -> None:
     exports.select("name", F.col("body").alias("value")).write.partitionBy("name").option("lineSep", "\n").text(path)
 
 
-def write_export_lines(lines: DataFrame, titles: DataFrame, form: str, path: str) -> None:
-    """Exports of any size: lines(run_id, arrival_seq, value) of export_lines(), as text files in a folder for each name.
-    Rows are range-partitioned and sorted by name and arrival, so a large run is written by many tasks, and its
-    files in order of their names, end to end, are its document. Runs that share a name follow each other."""
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path that a URI, or a local path, names."""
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+class _Package:
+    """A ZIP file that is written document by document, a member of it each."""
+
+    def __init__(self, uri: str):
+        system, path = _opened(uri)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        self.out = system.open_output_stream(path)
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+        self.member, self.name, self.size, self.names = None, None, 0, 0
+
+    def add(self, name: str, value: bytes) -> None:
+        """A line of the document ``name``; lines of one document follow each other."""
+        if name != self.name:
+            self._end_member()
+            self.name, self.names = name, self.names + 1
+            self.member = self.zip.open(name, "w", force_zip64=True)
+        self.member.write(value + b"\n")
+        self.size += len(value) + 1
+
+    def _end_member(self) -> None:
+        if self.member:
+            self.member.close()
+
+    def close(self) -> None:
+        self._end_member()
+        self.zip.close()
+        self.out.close()
+
+
+def write_export_lines(lines: DataFrame, titles: DataFrame, form: str, path: str, most: int = 16 << 20, most_names: int = 20_000) -> None:
+    """Exports of any size: lines(run_id, arrival_seq, value) of export_lines(), as documents in ZIP packages, so that the
+    number of files follows the size of the exports and not the number of their names. Rows are range-partitioned and sorted by
+    name and arrival, so a large run is written by many tasks and lies in several packages (of about ``most`` bytes of text or
+    ``most_names`` names each); its members in order of their packages, end to end, are its document. Runs that share a name
+    follow each other. Below path lie the packages and, as a Parquet table, the list of those that tasks committed."""
     named = lines.join(titles, "run_id", "left").select(export_name(F.col("title"), form).alias("name"), "run_id", "arrival_seq", "value")
     order = ("name", "run_id", "arrival_seq")
-    named.repartitionByRange(*order).sortWithinPartitions(*order).select("name", "value").write.partitionBy("name").option("lineSep", "\n").text(path)
+    folder = f"{path.rstrip('/')}/packages"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, part, package, done = TaskContext.get().partitionId(), 0, None, []
+        uri = ""
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if package and (package.size >= most or package.names >= most_names and package.name != name):
+                    package.close()
+                    done.append(((task << 32) + part, uri))
+                    package, part = None, part + 1
+                if not package:
+                    uri = f"{folder}/exports-{task:05}-{part:05}-{uuid.uuid4().hex}.zip"
+                    package = _Package(uri)
+                package.add(name, value or b"")
+        if package:
+            package.close()
+            done.append(((task << 32) + part, uri))
+        yield pa.RecordBatch.from_pylist([{"part": p, "package": u} for p, u in done], pa.schema([("part", pa.int64()), ("package", pa.string())]))
+
+    sorted_lines = named.repartitionByRange(*order).sortWithinPartitions(*order).select("name", "value")
+    sorted_lines.mapInArrow(run, _PACKAGES).write.parquet(f"{path.rstrip('/')}/committed")
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """(name, part, value) of written exports: the whole text of each file; part gives the order of a name's files."""
-    return spark.read.text(path, wholetext=True).select("name", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1).cast("int").alias("part"), "value")
+    """(name, part, value) of exports in packages: the whole text of each member; part gives the order of a name's members.
+    Packages are read by tasks, one after the other."""
+    schema = pa.schema([("name", pa.string()), ("part", pa.int64()), ("value", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, at = _opened(row["package"])
+                with system.open_input_file(at) as file, zipfile.ZipFile(file) as package:
+                    rows, size = [], 0
+                    for member in package.infolist():
+                        rows.append({"name": member.filename, "part": row["part"], "value": package.read(member).decode()})
+                        size += member.file_size
+                        if size >= 4 << 20 or len(rows) == 10_000:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, size = [], 0
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+    packages = spark.read.schema(_PACKAGES).parquet(f"{path.rstrip('/')}/committed")
+    return packages.repartition(spark.sparkContext.defaultParallelism, "package").mapInArrow(run, "name string, part long, value string")
 
 
 def write_comments(comments: DataFrame, path: str) -> None:
