@@ -92,3 +92,24 @@ def test_index(spark, sf_dir, awkward, nothing, tokenizer_json, tmp_path):
     assert T.token_index(T.shared_shards(nothing, tokenizer_json)).count() == 0
     written = T.write_tokens(awkward, str(tmp_path / "ids"), tokenizer_json, end_id=None)
     assert written.count() >= 1
+
+
+def test_many_distinct_units(tokenizer_json):
+    """Units that are all new, in many rows of them, give the library's ids."""
+    encoder = T.CachedEncoder(tokenizer_json)
+    texts = pa.array([" ".join(f"w{i}x{k}é" for k in range(50)) for i in range(400)])
+    for _ in range(2):
+        values, _ = encoder.encode(texts)
+        assert values.tolist() == [i for e in encoder.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False) for i in e.ids]
+
+
+def test_overlapping_places_are_taken_every_other():
+    """Runs of one id of even and odd lengths, beside places that don't overlap."""
+    docs = [[5] * n for n in (2, 3, 7, 8, 64, 65)] + [[1, 2, 3]] * 12 + [[5, 5, 1, 2, 5, 5, 5]] * 7
+    ids = np.concatenate(docs)
+    ends = np.zeros(len(ids), bool)
+    ends[np.cumsum([len(d) for d in docs]) - 1] = True
+    for per_round in (1, 4096):
+        left, right, lengths, symbols = T.repair(ids, ends, 6, per_round=per_round)
+        assert T.expand(symbols, 6, left, right).tolist() == ids.tolist()
+        assert len(symbols) < len(ids) / 2

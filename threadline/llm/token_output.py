@@ -89,7 +89,7 @@ class CachedEncoder:
         for i, ids in zip(joined, self._whole([units[i][1:] for i in joined]), strict=True):
             out[i] = ids
         rest = [i for i, v in enumerate(out) if v is None]
-        rows = [rest[k : k + 500] for k in range(0, len(rest), 500)]
+        rows = [rest[k : k + 100] for k in range(0, len(rest), 100)]
         for row, ids in zip(rows, self._whole([" " + " ".join(units[i] for i in row) for row in rows]), strict=True):
             begin = np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")])
             if len(begin) == len(row) and begin[0] == 0:
@@ -116,7 +116,7 @@ class CachedEncoder:
         begins = pc.take(split.flatten(), pa.array(begin)).to_pylist()
         for i in whole.tolist():
             begins[i] = texts[i].as_py()
-        known = self.units.get(units.dictionary.to_pylist(), self._after_space)
+        known = self.units.get(units.dictionary.to_numpy(zero_copy_only=False).tolist(), self._after_space)  # quicker than to_pylist()
         values = [*known, *self._whole(begins), end]
         code[begin] = len(known) + np.arange(len(begin))
         stop = np.r_[begin[1:], len(code)]
@@ -165,7 +165,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = 4096,
         at = np.flatnonzero(live)
         n = base + len(left)
         kind, bits = (np.uint32, 16) if n <= 1 << 16 else (np.uint64, 32)  # a pair in 32 bits while it fits
-        key = seq[at].astype(kind) << kind(bits) | seq[at + 1]
+        key = seq.take(at).astype(kind) << kind(bits) | seq[1:].take(at)
         ordered = np.sort(key)
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.r_[first, len(ordered)])
@@ -176,8 +176,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = 4096,
         slots = _hash(key)
         frequent = np.zeros(1 << _HASH_BITS, bool)
         frequent[_hash(pairs)] = True
-        stay = frequent[slots]
-        at, key, slots = at[stay], key[stay], slots[stay]
+        stay = np.flatnonzero(frequent.take(slots))  # places are found once, as masks are slow to take by
+        at, key, slots = at.take(stay), key.take(stay), slots.take(stay)
         live[:] = False
         live[at] = True
         pairs = pairs[np.argsort(-count, kind="stable")[:per_round]]
@@ -186,12 +186,14 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = 4096,
         pairs = pairs[first]
         owner = np.full(1 << _HASH_BITS, -1, np.int32)
         owner[slot] = np.arange(len(pairs))
-        rule = owner[slots]
-        own = (rule >= 0) & (pairs[rule] == key)
-        place, rule = at[own], rule[own]
-        run = np.r_[True, np.diff(place) > 1]  # of overlapping places, every other one
-        odd = (np.arange(len(place)) - np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))) % 2 == 1
-        place, rule = place[~odd], rule[~odd]
+        rule = owner.take(slots)
+        own = np.flatnonzero((rule >= 0) & (pairs.take(rule, mode="wrap") == key))
+        place, rule = at.take(own), rule.take(own)
+        over = np.flatnonzero(np.diff(place) == 1) + 1  # of overlapping places, every other one
+        if len(over):
+            nth = np.arange(len(over))
+            nth -= np.maximum.accumulate(np.where(np.r_[True, np.diff(over) > 1], nth, 0))
+            place, rule = np.delete(place, over[nth % 2 == 0]), np.delete(rule, over[nth % 2 == 0])
         # half the places or more are taken, so one pair at least keeps half of its own; the others wait
         good = 2 * np.bincount(rule, minlength=len(pairs)) >= least
         place, rule, pairs = place[good[rule]], (np.cumsum(good) - 1)[rule[good[rule]]], pairs[good]
@@ -204,7 +206,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = 4096,
         live[np.maximum(place - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[place + 1] = False
-        seq, ends, live = seq[keep], ends[keep], live[keep]
+        keep = np.flatnonzero(keep)
+        seq, ends, live = seq.take(keep), ends.take(keep), live.take(keep)
         live &= ~ends
 
 
