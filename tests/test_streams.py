@@ -93,3 +93,30 @@ def test_issues_are_counted_in_the_same_pass(spark, sf_dir):
     found = Counter(r.code for r in E.extraction_issues(rows, ST.KEYS).collect())
     assert {c: seen.get[c] for c in E.CODES} == {c: found.get(c, 0) for c in E.CODES} and seen.get["threads"] > sum(found.values()) > 0
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
+def test_ungated_keys_are_kept_by_sparks_own_state(spark, tmp_path):
+    def keep(*files):
+        for rows in files:
+            spark.createDataFrame(rows, COMMENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "parsed"))
+        q = ST.stream_first_wins(spark.readStream.schema(COMMENTS).parquet(str(tmp_path / "parsed")), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        q.awaitTermination()
+        return q
+
+    # one batch of several files: the first of a key is not the first that is read
+    q = keep([comment("a", 9, "k1", "late"), comment("b", 5, None, "no key")], [comment("a", 3, "k1", "first"), comment("a", 4, "k2", "other")], [comment("a", 7, "k1", "again"), comment("b", 4, "", "empty key")])
+    assert [o.operatorName for o in q.lastProgress.stateOperators] == ["dedupe"]
+    keep([comment("a", 1, "k1", "known"), comment("b", 1, "k1", "another run"), comment("b", 2, None, "known")])
+    got = ST.committed(spark, str(tmp_path / "out"))
+    assert sorted((r.batch, r.run_id, r.text) for r in got.collect()) == [(0, "a", "first"), (0, "a", "other"), (0, "b", "empty key"), (1, "b", "another run")]
+    assert {tuple(r.arrival_seq) for r in got.filter("text = 'first'").collect()} == {(0, 3, 0)}
+
+
+def test_pages_are_dealt_once_and_tags_cut_once(spark):
+    pages = spark.range(50).selectExpr("concat('r', id) run_id", "1000L snapshot_seq", "id page_id", "concat('<ytd-comment-thread-renderer><p id=a ID=b class>', id, '</p></ytd-comment-thread-renderer>') html")
+    threads = E.find_threads(pages, ST.KEYS)
+    plan = threads._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # also with a key that is the same for all pages
+    assert plan.count("regexp_extract_all") == 2  # into tokens, and each tag into attributes
+    rows = threads.collect()
+    assert len(rows) == 50 and {(e.attrs.id, e.attrs["class"], e.attrs.href) for r in rows for e in r.els if e.tag == "p" and e.kind == "open"} == {("a", "", None)}
