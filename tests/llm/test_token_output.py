@@ -113,3 +113,52 @@ def test_overlapping_places_are_taken_every_other():
         left, right, lengths, symbols = T.repair(ids, ends, 6, per_round=per_round)
         assert T.expand(symbols, 6, left, right).tolist() == ids.tolist()
         assert len(symbols) < len(ids) / 2
+
+
+def test_units_stay_known(tokenizer_json, monkeypatch):
+    """A table of so many bytes keeps all of 8,000 units: a second pass hands none of them to the library."""
+    encoder = T.CachedEncoder(tokenizer_json, max_bytes=1_600_000)
+    batches = [pa.array([" ".join(f"w{i}" for i in range(k, k + 1000))]) for k in range(0, 8000, 1000)]
+    first = [encoder.encode(b)[0].tolist() for b in batches]
+    asked, whole = [], T.CachedEncoder._whole
+    monkeypatch.setattr(T.CachedEncoder, "_whole", lambda self, texts: (asked.extend("".join(texts).split()), whole(self, texts))[1])
+    assert [encoder.encode(b)[0].tolist() for b in batches] == first
+    assert len(asked) <= len(batches)
+
+
+def test_keys_tell_units_apart():
+    """Short units have one key each, also those that end in NUL or lie in a sliced array."""
+    units = pa.array(["", "a", "a\x00", "\x00a", "é" * 11, "b" * 23, "b" * 22, "b" * 24, "c" * 1000, "c"])
+    for at in (0, 1, 3):
+        key, short = T.unit_keys(units[at:])
+        assert short.tolist() == [len(u.encode()) < 24 for u in units[at:].to_pylist()]
+        assert len({tuple(k) for k in key[short].tolist()}) == short.sum()
+    assert (T.unit_keys(units[1:])[0][-1] == T.unit_keys(pa.array(["c"]))[0][0]).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), max_size=40), max_size=12), st.sampled_from([1, 72 * 2 * 20, 1 << 20]))
+def test_recent_ids_are_those_made(batches, max_bytes):
+    """What is found is what was made for the key, whatever has been dropped, moved or met on the way."""
+    table = T.RecentIds(max_bytes)
+    for batch in map(sorted, batches):
+        made = [np.arange(k % 5, dtype=np.uint32) + k for k in batch]
+        key, _ = T.unit_keys(pa.array([str(k) for k in batch], pa.string()))
+
+        def make(at, made=made):
+            some = [made[i] for i in at]
+            return np.concatenate([np.zeros(0, np.uint32), *some]), np.array([len(a) for a in some], np.int32)
+
+        ids, size = table.get(key, make)
+        assert ids.tolist() == [i for a in made for i in a] and size.tolist() == [len(a) for a in made]
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.lists(st.sampled_from([" ", " ", "\n", *"ab9.,!?)(*'\"-", "é", "×", "ɏ", "ɐ", "\x85", "\xa0", " ", "　", "​", "中", "。", "😀", "\x00", "\t", "the"]), max_size=30).map("".join)), max_size=8))
+def test_cuts_are_exact(tokenizer_json, texts):
+    """Cuts at spaces, newlines and signs, next to characters of one to four bytes and ends of texts."""
+    encoder = T.built_once(T.CachedEncoder, tokenizer_json, 20_000)
+    for at in (0, 2):
+        ids, sizes = encoder.encode(pa.array(texts, pa.string())[at:], T._u4(np.array([2])))
+        want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[at:]]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
